@@ -8,7 +8,7 @@ registers together by maximum likelihood, is clearly too low are left, and the r
 What buckets still hold in separate components is then compared member by member, so no partner is dropped.
 
 At a similarity of 0.8 a register agrees with probability 0.8156 (b = 1.2), so a pair shares no bucket with
-probability (1 - 0.8156^4)^32 < 1e-8; the likelihood estimate has a deviation below 0.04 there and MARGIN is 0.2.
+probability (1 - 0.8156^6)^45 < 2e-7; the likelihood estimate has a deviation of about 0.024 there and MARGIN is 0.13.
 
 Defined results: texts without words (null, empty) have no shingles and link with nothing. Equal sets are one group
 whose least doc_id stands for it. Rows that share a doc_id are one document: it is linked if any of its texts is. A null
@@ -22,7 +22,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from recollex.llm import kernels
@@ -31,9 +30,9 @@ from recollex.llm.components import components
 
 SHINGLE_WORDS = 5
 PERCENT = 80
-REGISTERS, ROWS = 128, 4
+REGISTERS, ROWS = 270, 6
 B, A = 1.2, 20.0
-MARGIN = 0.2
+MARGIN = 0.13
 
 _rng = np.random.default_rng(20240607)
 _MUL = (_rng.integers(0, 1 << 31, REGISTERS, dtype=np.uint64) * 2 + 1).astype(np.uint32)
@@ -109,13 +108,21 @@ def _sets(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([ids.slice(at, len(own)), pa.ListArray.from_arrays(pa.array(ends), values)], ["doc", "shingles"])
 
 
+def _codes(registers: np.ndarray) -> np.ndarray:
+    """Each band's ROWS registers as one number."""
+    out = np.zeros((len(registers), REGISTERS // ROWS), np.int64)
+    for i in range(ROWS):
+        out = (out << 8) | registers[:, i::ROWS]
+    return out
+
+
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
         registers = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(batch.num_rows, REGISTERS)
         bands = REGISTERS // ROWS
-        value = np.ascontiguousarray(registers).view(np.uint32).astype(np.int64) + (np.arange(bands, dtype=np.int64) << 32)
+        value = _codes(registers) | (np.arange(bands, dtype=np.int64) << (8 * ROWS))
         yield pa.RecordBatch.from_arrays([pa.array(value.reshape(-1)), pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), bands))], ["bucket", "doc"])
 
 
@@ -173,6 +180,124 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(one, "a").join(two, "b").where(jaccard_reaches(F.col("s1"), F.col("s2"), percent)).select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
 
 
+def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """The runs of rows, of a stream sorted by its first columns, that agree in these."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(keys)], 1)
+        cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1), len(key)]
+        if held and (key[0] != last).any():
+            yield pa.Table.from_batches(held)
+            held = []
+        for at, to in zip(cuts[:-1], cuts[1:], strict=True):
+            held.append(batch.slice(at, to - at))
+            if to < len(key):
+                yield pa.Table.from_batches(held)
+                held = []
+        last = key[-1]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _candidates(run: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Documents of one bucket's pair of blocks (bucket, i, j, block, doc, component, n_shingles, registers): the ids,
+    and the places of pairs of different components whose first common band is this one and which may be similar enough."""
+    doc, comp, block, n = (run.column(c).to_numpy() for c in ("doc", "component", "block", "n_shingles"))
+    bucket, i, j = (run.column(c)[0].as_py() for c in ("bucket", "i", "j"))
+    r = np.frombuffer(b"".join(run.column("registers").to_pylist()), np.uint8).reshape(len(doc), REGISTERS)
+    codes = _codes(r)
+    band = bucket >> (8 * ROWS)
+    found: list[tuple[np.ndarray, ...]] = []
+    for a in range(len(doc)):
+        later = np.arange(a + 1, len(doc)) if i == j else np.flatnonzero((block == j) & (block[a] == i))
+        later = later[(comp[later] != comp[a]) & (100 * np.minimum(n[later], n[a]) >= percent * np.maximum(n[later], n[a]))]
+        if band:
+            later = later[(codes[later, :band] != codes[a, :band]).all(1)]
+        if len(later):
+            found.append((np.full(len(later), a), later, (r[a] > r[later]).sum(1), (r[a] < r[later]).sum(1)))
+    if not found:
+        return doc, np.zeros(0, np.int64), np.zeros(0, np.int64)
+    first, second, ahead, behind = (np.concatenate(x) for x in zip(*found, strict=True))
+    likely = estimate(n[first].astype(float), n[second].astype(float), ahead, behind) >= percent / 100 - MARGIN
+    return doc, first[likely], second[likely]
+
+
+def _with_candidates(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for run in _runs(batches, 3):
+        doc, a, b = _candidates(run, percent)
+        found = np.unique(doc[np.concatenate([a, b])])
+        if len(found):
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.full(len(found), run.column(c)[0].as_py(), np.int64)) for c in ("bucket", "i", "j")), pa.array(found)], ["bucket", "i", "j", "doc"])
+
+
+def _links_of_run(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Confirmed links; a pair whose components a link of this run has already joined needs no look."""
+    for run in _runs(batches, 3):
+        doc, a, b = _candidates(run, percent)
+        if not len(a):
+            continue
+        whole = run.column("shingles").combine_chunks()
+        ends, values = whole.offsets.to_numpy(), whole.values.to_numpy()
+        sets = [values[ends[x] : ends[x + 1]] for x in range(len(doc))]
+        root = {c: c for c in run.column("component").to_pylist()}
+        comp = run.column("component").to_pylist()
+
+        def find(c: int, root: dict[int, int] = root) -> int:
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        u, v = [], []
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            cx, cy = find(comp[x]), find(comp[y])
+            if cx == cy:
+                continue
+            both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+            if 100 * both >= percent * (len(sets[x]) + len(sets[y]) - both):
+                root[max(cx, cy)] = min(cx, cy)
+                u.append(doc[x])
+                v.append(doc[y])
+        if u:
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+
+#: Documents of one bucket that are compared as one block, on average.
+BLOCK = 256
+
+
+def _remaining_links(docs: DataFrame, members: DataFrame, comps: DataFrame, held: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (u, v) between components that some bucket still holds apart: its members are compared block by block.
+
+    Blocks of a bucket meet as pairs of blocks, first by registers alone; the full sets are brought only for documents
+    that may have a partner, and only confirmed links leave the tasks.
+    """
+    named = members.join(comps.select(F.col("node").alias("doc"), "component"), "doc", "left").select("bucket", "doc", F.coalesce("component", "doc").alias("component"))
+    split = named.groupBy("bucket").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count(F.lit(1)).alias("members")).where("c1 < c2")
+    split = split.select("bucket", F.ceil(F.col("members") / BLOCK).alias("blocks"))
+    block = F.pmod(F.xxhash64("doc"), F.col("blocks"))
+    apart = named.join(split, "bucket").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    apart = apart.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).select("bucket", "i", "j", "block", "doc", "component")
+    apart = written(apart, "apart")
+    registers = held.select(F.col("doc_id").alias("doc"), "n_shingles", "registers")
+
+    def dealt(rows: DataFrame, *more: str) -> DataFrame:
+        rows = rows.select("bucket", "i", "j", "block", "doc", "component", "n_shingles", "registers", *more)
+        return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+
+    likely = dealt(apart.join(registers, "doc")).mapInArrow(lambda it: _with_candidates(percent, it), "bucket long, i long, j long, doc long")
+    likely = written(likely, "likely")
+    lacking = likely.select("doc").distinct().join(sets, "doc", "left_anti")
+    full = sets.unionByName(_full_sets(docs, lacking, k)).join(likely.select("doc").distinct(), "doc", "left_semi")
+    rows = apart.join(likely, ["bucket", "i", "j", "doc"], "left_semi").join(registers, "doc")
+    keys = ["doc", "n_shingles"]
+    rows = rows.join(full.withColumn("n_shingles", F.size("shingles").cast("long")), keys)
+    return dealt(rows, "shingles").mapInArrow(lambda it: _links_of_run(percent, it), "u long, v long")
+
+
 def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
     """Pairs whose ends aren't yet known to be of one component."""
     one = comps.select(F.col("node").alias("a"), F.col("component").alias("ca"))
@@ -181,9 +306,8 @@ def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
     return found.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).drop("ca", "cb")
 
 
-def _full_sets(docs: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
-    """(doc, shingles): the full sets of the documents in pairs, made anew from their texts."""
-    named = pairs.select(F.col("a").alias("doc")).unionByName(pairs.select(F.col("b").alias("doc"))).distinct()
+def _full_sets(docs: DataFrame, named: DataFrame, k: int) -> DataFrame:
+    """(doc, shingles): the full sets of the named documents, made anew from their texts."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string")).join(named, "doc", "left_semi")
     return written(texts.mapInArrow(lambda it: _sets(k, it), "doc long, shingles array<bigint>"), "sets")
 
@@ -201,7 +325,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERC
     star = members.where("doc > lead").select(F.col("lead").alias("a"), F.col("doc").alias("b")).distinct()
     star = written(_likely(star, held, percent), "pairs")
 
-    sets = _full_sets(docs, star, k)
+    sets = _full_sets(docs, star.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), k)
     best = star.groupBy("b").agg(F.max_by("a", F.struct("estimate", -F.col("a"))).alias("a"))
     edges = written(_confirmed(best, sets, percent), "edges")
     comps = components(edges)
@@ -209,23 +333,9 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERC
     edges = written(edges.unionByName(more), "edges")
     comps = components(edges)
 
-    tried = star.select("a", "b")
-    span = 1
-    while True:  # what stays apart in a bucket: members 1, 2-3, 4-7, ... of each bucket against all its other components
-        named = members.join(comps.select(F.col("node").alias("doc"), "component"), "doc", "left").select("bucket", "doc", F.coalesce("component", "doc").alias("component"))
-        split = named.groupBy("bucket").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.countDistinct("doc").alias("size")).where(f"c1 < c2 and size > {span}").select("bucket")
-        open_ = written(named.join(split, "bucket").distinct(), "open")
-        if open_.isEmpty():
-            break
-        ranked = open_.withColumn("at", F.row_number().over(W.partitionBy("bucket").orderBy("doc")) - 1)
-        heads = ranked.where(f"at >= {span} and at < {2 * span}").select("bucket", F.col("doc").alias("a"), F.col("component").alias("ca"))
-        pairs = open_.join(heads, "bucket").where("component != ca and doc != a").select(F.least("a", "doc").alias("a"), F.greatest("a", "doc").alias("b")).distinct()
-        pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = written(_likely(pairs, held, percent), "pairs")
-        if not pairs.isEmpty():
-            edges = written(edges.unionByName(_confirmed(pairs, _full_sets(docs, pairs, k), percent)), "edges")
-            comps = components(edges)
-        span *= 2
+    rest = written(_remaining_links(docs, members, comps, held, sets, k, percent), "edges")
+    if not rest.isEmpty():
+        comps = components(edges.unionByName(rest))
 
     copies = groups.where("copies > 1").select("key1", "key2", "rep")
     rows = all_sets.select("doc_id", "n_shingles", "key1", "key2").join(copies, ["key1", "key2"], "left")
