@@ -266,7 +266,7 @@ def _links_of_run(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[p
 
 
 #: Documents of one bucket that are compared as one block, on average.
-BLOCK = 256
+BLOCK = 1024
 
 
 def _remaining_links(docs: DataFrame, members: DataFrame, comps: DataFrame, held: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
