@@ -30,6 +30,9 @@ _BYTE_LOWER = _BYTE.copy()
 _BYTE_LOWER[65:91] = _BYTE[97:123]
 _IS_WORD = np.ones(256, dtype=bool)
 _IS_WORD[[32, 9, 10, 11, 12, 13]] = False
+#: Words of letters and digits only; every byte of a character beyond ASCII belongs to one.
+ALNUM = np.zeros(256, dtype=bool)
+ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers: dict[int, np.ndarray] = {}
@@ -71,12 +74,15 @@ def slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int,
         at = end
 
 
-def word_bounds(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words in bytes, and for each text the index of its first word, and the end."""
+def word_bounds(raw: np.ndarray, off: np.ndarray, of: np.ndarray = _IS_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words in bytes, and for each text the index of its first word, and the end.
+
+    of: for each byte whether it belongs to words.
+    """
     if not len(raw):
         empty = np.zeros(0, np.int64)
         return empty, empty, np.zeros(len(off), np.int64)
-    inside = _IS_WORD[raw]
+    inside = of[raw]
     starts, ends = inside.copy(), inside.copy()
     starts[1:] &= ~inside[:-1]
     ends[:-1] &= ~inside[1:]
