@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from recollex.llm.bpe import op1_bpe
 from recollex.llm.neardup import op6_near_duplicates
 from recollex.llm.pii import op9_pii
+from recollex.llm.quality import op8_quality
 from recollex.llm.toxicity import op7_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_toxicity": op7_toxicity,
+    "op8_quality": op8_quality,
     "op9_pii": op9_pii,
 }
 
