@@ -32,7 +32,7 @@ from recollex.llm.common import table
 
 #: Texts (in characters) whose new words share one traversal, and white-space-free chunks that a worker remembers.
 SLICE_CHARS = 2_000_000
-REMEMBERED = 250_000
+REMEMBERED = 500_000
 _SPACES = regex.compile(r"\p{White_Space}+")
 _CONTROLS = regex.compile("[\x1c-\x1f]")
 #: The pre-tokens of the file: fixed values.
@@ -234,40 +234,46 @@ class Encoder:
             own = ids[words[0]] if len(words) == 1 else [i for w in words for i in ids[w]]
             known[c] = (own, " ".join([decimal[i] for i in own]), " ".join([shown[i] for i in own]))
 
-    def parts(self, text: str) -> Iterator[list[tuple[list[int], str, str]]]:
-        """(ids, ids in decimal, decoded) of the chunks of a text, and of its special tokens, some at a time."""
-        t = self.tokenizer
-        for piece in t.pieces(text):
+    def split(self, text: str) -> Iterator[list[str] | int]:
+        """The chunks of a text, some at a time, and the ids of its special tokens."""
+        for piece in self.tokenizer.pieces(text):
             if isinstance(piece, int):
-                yield [([piece], str(piece), t.text[piece])]
+                yield piece
+            else:
+                yield from chunks(self.tokenizer.normal(piece))
+
+    def parts(self, split: Iterable[list[str] | int]) -> Iterator[list[tuple[list[int], str, str]]]:
+        """(ids, ids in decimal, decoded) of the chunks and special tokens of a text that split() has made."""
+        t = self.tokenizer
+        for some in split:
+            if isinstance(some, int):
+                yield [([some], str(some), t.text[some])]
                 continue
-            for some in chunks(t.normal(piece)):
-                if new := set(some).difference(self.known):
-                    self.learn(new)
-                    if not all(map(self.known.__contains__, some)):  # the memory was emptied on the way
-                        self.learn(set(some))
-                known = self.known
-                yield [known[c] for c in some if known[c][1]]
+            if not all(map(self.known.__contains__, some)):
+                self.learn(set(some).difference(self.known))
+                if not all(map(self.known.__contains__, some)):  # the memory was emptied on the way
+                    self.learn(set(some))
+            yield [x for x in map(self.known.__getitem__, some) if x[1]]
+
+
+@functools.lru_cache(maxsize=2)
+def encoder_of(path: str) -> Encoder:
+    """A worker's encoder; what it has learnt serves its next tasks."""
+    return Encoder(path)
 
 
 def _encoded(path: str, digests: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    encoder = Encoder(path)
+    encoder = encoder_of(path)
     for batch in batches:
         at = 0
         while at < batch.num_rows:
             texts, size, to = [], 0, at
             while to < batch.num_rows and (to == at or size < SLICE_CHARS):
-                texts.append(batch.column(1)[to].as_py() or "")
-                size += len(texts[-1])
+                text = batch.column(1)[to].as_py() or ""
+                size += len(text)
+                texts.append(list(encoder.split(text)) if len(text) <= SLICE_CHARS else encoder.split(text))
                 to += 1
-            normal = encoder.tokenizer.normal
-            new: set[str] = set()
-            for x in texts:  # one trie for the slice
-                if len(x) <= SLICE_CHARS:
-                    for piece in encoder.tokenizer.pieces(x):
-                        if isinstance(piece, str):
-                            for some in chunks(normal(piece)):
-                                new.update(some)
+            new = {c for x in texts if isinstance(x, list) for some in x if isinstance(some, list) for c in some}  # one trie for the slice
             if new := new.difference(encoder.known):
                 encoder.learn(new)
             counts, firsts, seconds = [], [], []
