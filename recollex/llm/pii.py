@@ -258,5 +258,7 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         own = F.filter("found", lambda s: s["kind"].isin(*BASE)) if base else F.col("found")
         return F.array_join(F.transform(own, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
-    counts = [F.size(F.filter("found", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE]
-    return found.select("doc_id", *counts, F.sha2(told(True), 256).alias("base_sha256"), told(False).alias("spans"))
+    def count(kind: str):
+        return F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(count, BASE), F.sha2(told(True), 256).alias("base_sha256"), told(False).alias("spans"))
