@@ -112,6 +112,14 @@ def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bo
     return mix(out + (ends - starts).astype(np.uint64))
 
 
+def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The hash of values[start:end] for each range, from prefix sums."""
+    total = np.zeros(len(values) + 1, dtype=np.uint64)
+    np.cumsum(values * _power(_BASE, len(values))[: len(values)], out=total[1:])
+    found = (total[ends] - total[starts]) * _power(_INVERSE, len(values) + 1)[starts]
+    return mix(found + (ends - starts).astype(np.uint64))
+
+
 def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
     """The hash of each k consecutive entries of words; empty if there are fewer."""
     n = len(words) - k + 1
