@@ -70,7 +70,7 @@ def stemmed(word: Column, rounds: int = 5) -> Column:
 
 def locus_tokens(text: Column) -> Column:
     words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[a-z][\w'-]*"), F.lit(0))
-    return F.array_distinct(F.filter(F.transform(words, stemmed), lambda t: F.length(t) >= 3))
+    return F.array_distinct(F.filter(F.transform(words, lambda w: stemmed(w)), lambda t: F.length(t) >= 3))
 
 
 # ---- propositions ----
@@ -78,7 +78,7 @@ def locus_tokens(text: Column) -> Column:
 def list_items(text: Column) -> Column:
     """The items of a text with two list markers or more at line starts, with the lead before them; else null."""
     marker = r"(?m)^\s*(?:\d+[.)]\s+|[a-zA-Z][.)]\s+|[-*•]\s+)"
-    parts = F.filter(F.transform(F.split(text, marker), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(text, marker), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
     return F.when(F.regexp_count(text, F.lit(marker)) >= 2, parts)
 
 
@@ -186,7 +186,7 @@ def user_turns(text: Column) -> Column:
     """What stands in the user: or human: sections of a transcript."""
     parts = F.split(text, r"(?im)^(?=(?:user|human|assistant|system)\s*:)")
     own = F.filter(parts, lambda p: p.rlike(r"(?i)^(?:user|human)\s*:"))
-    return F.array_join(F.transform(own, lambda p: F.trim(F.regexp_replace(p, r"(?i)^(?:user|human)\s*:", ""))), "\n")
+    return F.array_join(F.transform(own, lambda p: F.regexp_replace(p, r"(?i)^(?:user|human)\s*:\s*|\s+$", "")), "\n")
 
 
 def session_text(turns: DataFrame) -> DataFrame:
