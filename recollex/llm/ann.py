@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from recollex.llm import kernels
 from recollex.llm.common import table
 
 NEAREST, QUERY_MODULUS = 20, 20
@@ -92,9 +93,7 @@ def nearest(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray,
 
 
 def _runs_nearest(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from recollex.llm.neardup import _runs
-
-    for run in _runs(batches, 3):
+    for run in kernels.sorted_runs(batches, 3):
         ids = run.column("vec_id").to_numpy()
         vectors = run.column("vector").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
         asks = run.column("asks").to_numpy()

@@ -44,27 +44,31 @@ def lower_ascii(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-#: Bits of the filter that spares the shuffle of rows that can't match: 8 MB, whatever the input.
-FILTER_BITS = 1 << 26
+#: Bits of the filter that spares the shuffle of rows that can't match: so many a value, and 8 MB in all at most.
+FILTER_BITS, MOST_FILTER_BITS = 16, 1 << 26
 
 
-def _place(c: Column) -> Column:
-    return F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+def _place(c: Column, bits: int) -> Column:
+    return F.pmod(F.xxhash64(c), F.lit(bits))
 
 
-def bitmap(rows: DataFrame, column: str) -> DataFrame:
-    """A bitmap of the hashed values of a column, in at most FILTER_BITS / 32768 rows of 4 kB."""
-    place = rows.select(_place(F.col(column)).alias("place"))
-    return place.groupBy(F.bitmap_bucket_number("place").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
+def bitmap(rows: DataFrame, column: str) -> tuple[DataFrame, int]:
+    """A bitmap of the hashed values of a column, in rows of 4 kB, and its size in bits."""
+    n = rows.count()
+    size = 1 << 15
+    while size < min(FILTER_BITS * n, MOST_FILTER_BITS):
+        size *= 2
+    place = rows.select(_place(F.col(column), size).alias("place"))
+    return place.groupBy(F.bitmap_bucket_number("place").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits")), size
 
 
-def may_be_in(rows: DataFrame, column: str, bits: DataFrame, holds: bool = True) -> DataFrame:
+def may_be_in(rows: DataFrame, column: str, filter_: tuple[DataFrame, int], holds: bool = True) -> DataFrame:
     """The rows whose value the bitmap may hold, or (holds=False) those whose value it surely does not.
 
     Every row is in one of the two; a null value counts as any other. A bitmap that fills up only lets more rows through.
     """
-    columns = rows.columns
-    rows = rows.withColumn("_place", _place(F.col(column))).withColumn("_part", F.bitmap_bucket_number("_place"))
+    columns, (bits, size) = rows.columns, filter_
+    rows = rows.withColumn("_place", _place(F.col(column), size)).withColumn("_part", F.bitmap_bucket_number("_place"))
     found = rows.join(F.broadcast(bits.select(F.col("part").alias("_part"), F.col("bits").alias("_bits"))), "_part", "inner" if holds else "left")
     position = F.bitmap_bit_position("_place")
     byte = F.conv(F.hex(F.substring("_bits", F.floor(position / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")

@@ -129,3 +129,25 @@ def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
     for i in range(k):
         h = h * _U(0xD6E8FEB86659FD93) + words[i : i + n]
     return mix(h)
+
+
+def sorted_runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """The runs of rows, of a stream sorted by its first columns, that agree in these."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(keys)], 1)
+        cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1), len(key)]
+        if held and (key[0] != last).any():
+            yield pa.Table.from_batches(held)
+            held = []
+        for at, to in zip(cuts[:-1], cuts[1:], strict=True):
+            held.append(batch.slice(at, to - at))
+            if to < len(key):
+                yield pa.Table.from_batches(held)
+                held = []
+        last = key[-1]
+    if held:
+        yield pa.Table.from_batches(held)

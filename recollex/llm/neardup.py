@@ -8,7 +8,7 @@ registers together by maximum likelihood, is clearly too low are left, and the r
 What buckets still hold in separate components is then compared member by member, so no partner is dropped.
 
 At a similarity of 0.8 a register agrees with probability 0.8156 (b = 1.2), so a pair shares no bucket with
-probability (1 - 0.8156^6)^45 < 2e-7; the likelihood estimate has a deviation of about 0.024 there and MARGIN is 0.13.
+probability (1 - 0.8156^6)^40 < 1e-6; the likelihood estimate has a deviation of about 0.025 there and MARGIN is 0.13.
 
 Defined results: texts without words (null, empty) have no shingles and link with nothing. Equal sets are one group
 whose least doc_id stands for it. Rows that share a doc_id are one document: it is linked if any of its texts is. A null
@@ -25,12 +25,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recollex.llm import kernels
-from recollex.llm.common import table, written
+from recollex.llm.common import bitmap, may_be_in, table, written
 from recollex.llm.components import components
 
 SHINGLE_WORDS = 5
 PERCENT = 80
-REGISTERS, ROWS = 270, 6
+REGISTERS, ROWS = 240, 6
 B, A = 1.2, 20.0
 MARGIN = 0.13
 
@@ -180,28 +180,6 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.select("a", "b").join(one, "a").join(two, "b").where(jaccard_reaches(F.col("s1"), F.col("s2"), percent)).select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
 
 
-def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
-    """The runs of rows, of a stream sorted by its first columns, that agree in these."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        key = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(keys)], 1)
-        cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1), len(key)]
-        if held and (key[0] != last).any():
-            yield pa.Table.from_batches(held)
-            held = []
-        for at, to in zip(cuts[:-1], cuts[1:], strict=True):
-            held.append(batch.slice(at, to - at))
-            if to < len(key):
-                yield pa.Table.from_batches(held)
-                held = []
-        last = key[-1]
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _candidates(run: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Documents of one bucket's pair of blocks (bucket, i, j, block, doc, component, n_shingles, registers): the ids,
     and the places of pairs of different components whose first common band is this one and which may be similar enough."""
@@ -210,23 +188,35 @@ def _candidates(run: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray, np
     r = np.frombuffer(b"".join(run.column("registers").to_pylist()), np.uint8).reshape(len(doc), REGISTERS)
     codes = _codes(r)
     band = bucket >> (8 * ROWS)
-    found: list[tuple[np.ndarray, ...]] = []
+    firsts, seconds = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    open_: list[tuple[np.ndarray, ...]] = []
+
+    def judge() -> None:
+        if open_:
+            first, second, ahead, behind = (np.concatenate(x) for x in zip(*open_, strict=True))
+            likely = estimate(n[first].astype(float), n[second].astype(float), ahead, behind) >= percent / 100 - MARGIN
+            firsts.append(first[likely])
+            seconds.append(second[likely])
+            open_.clear()
+
+    pairs = 0
     for a in range(len(doc)):
         later = np.arange(a + 1, len(doc)) if i == j else np.flatnonzero((block == j) & (block[a] == i))
         later = later[(comp[later] != comp[a]) & (100 * np.minimum(n[later], n[a]) >= percent * np.maximum(n[later], n[a]))]
         if band:
             later = later[(codes[later, :band] != codes[a, :band]).all(1)]
         if len(later):
-            found.append((np.full(len(later), a), later, (r[a] > r[later]).sum(1), (r[a] < r[later]).sum(1)))
-    if not found:
-        return doc, np.zeros(0, np.int64), np.zeros(0, np.int64)
-    first, second, ahead, behind = (np.concatenate(x) for x in zip(*found, strict=True))
-    likely = estimate(n[first].astype(float), n[second].astype(float), ahead, behind) >= percent / 100 - MARGIN
-    return doc, first[likely], second[likely]
+            open_.append((np.full(len(later), a), later, (r[a] > r[later]).sum(1), (r[a] < r[later]).sum(1)))
+            pairs += len(later)
+            if pairs >= 1 << 15:
+                judge()
+                pairs = 0
+    judge()
+    return doc, np.concatenate(firsts), np.concatenate(seconds)
 
 
 def _with_candidates(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for run in _runs(batches, 3):
+    for run in kernels.sorted_runs(batches, 3):
         doc, a, b = _candidates(run, percent)
         found = np.unique(doc[np.concatenate([a, b])])
         if len(found):
@@ -235,7 +225,7 @@ def _with_candidates(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterato
 
 def _links_of_run(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Confirmed links; a pair whose components a link of this run has already joined needs no look."""
-    for run in _runs(batches, 3):
+    for run in kernels.sorted_runs(batches, 3):
         doc, a, b = _candidates(run, percent)
         if not len(a):
             continue
@@ -266,7 +256,7 @@ def _links_of_run(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[p
 
 
 #: Documents of one bucket that are compared as one block, on average.
-BLOCK = 1024
+BLOCK = 512
 
 
 def _remaining_links(docs: DataFrame, members: DataFrame, comps: DataFrame, held: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
@@ -298,46 +288,36 @@ def _remaining_links(docs: DataFrame, members: DataFrame, comps: DataFrame, held
     return dealt(rows, "shingles").mapInArrow(lambda it: _links_of_run(percent, it), "u long, v long")
 
 
-def _apart(pairs: DataFrame, comps: DataFrame) -> DataFrame:
-    """Pairs whose ends aren't yet known to be of one component."""
-    one = comps.select(F.col("node").alias("a"), F.col("component").alias("ca"))
-    two = comps.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-    found = pairs.join(one, "a", "left").join(two, "b", "left")
-    return found.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).drop("ca", "cb")
-
-
 def _full_sets(docs: DataFrame, named: DataFrame, k: int) -> DataFrame:
-    """(doc, shingles): the full sets of the named documents, made anew from their texts."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string")).join(named, "doc", "left_semi")
+    """(doc, shingles): the full sets of the named documents, made anew from their texts; few other texts are shuffled."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
+    named = written(named, "named")
+    texts = may_be_in(texts, "doc", bitmap(named, "doc")).join(named.distinct(), "doc").select("doc", "text")
     return written(texts.mapInArrow(lambda it: _sets(k, it), "doc long, shingles array<bigint>"), "sets")
 
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of docs (doc_id, text)."""
     all_sets = written(sketches(docs, k), "sketches")
-    groups = all_sets.where("n_shingles > 0 and doc_id is not null").groupBy("key1", "key2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    reps = groups.select(F.col("rep").alias("doc_id"), "key1", "key2")
-    held = written(all_sets.join(reps, ["doc_id", "key1", "key2"], "left_semi").dropDuplicates(["doc_id", "key1", "key2"]).select("doc_id", "n_shingles", "registers"), "representatives")
+    groups = all_sets.where("n_shingles > 0 and doc_id is not null").groupBy("key1", "key2")
+    groups = groups.agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.max("n_shingles").alias("n_shingles"), F.max("registers").alias("registers"))
+    groups = written(groups, "representatives")
+    held = groups.select("doc_id", "n_shingles", "registers")
 
     buckets = held.select("doc_id", "registers").mapInArrow(_buckets, "bucket long, doc long")
-    leads = buckets.groupBy("bucket").agg(F.min("doc").alias("lead"), F.max("doc").alias("last")).where("lead < last").select("bucket", "lead")
-    members = written(buckets.join(leads, "bucket"), "buckets")
-    star = members.where("doc > lead").select(F.col("lead").alias("a"), F.col("doc").alias("b")).distinct()
+    leads = buckets.groupBy("bucket").agg(F.min("doc").alias("lead"))
+    led = written(buckets.join(leads, "bucket").where("doc > lead"), "buckets")
+    members = led.select("bucket", "doc").unionByName(led.select("bucket", F.col("lead").alias("doc")).distinct())
+    star = led.select(F.col("lead").alias("a"), F.col("doc").alias("b")).distinct()
     star = written(_likely(star, held, percent), "pairs")
-
     sets = _full_sets(docs, star.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), k)
-    best = star.groupBy("b").agg(F.max_by("a", F.struct("estimate", -F.col("a"))).alias("a"))
-    edges = written(_confirmed(best, sets, percent), "edges")
+    edges = written(_confirmed(star, sets, percent), "edges")
     comps = components(edges)
-    more = _confirmed(_apart(star, comps), sets, percent)
-    edges = written(edges.unionByName(more), "edges")
-    comps = components(edges)
-
     rest = written(_remaining_links(docs, members, comps, held, sets, k, percent), "edges")
     if not rest.isEmpty():
         comps = components(edges.unionByName(rest))
 
-    copies = groups.where("copies > 1").select("key1", "key2", "rep")
+    copies = groups.where("copies > 1").select("key1", "key2", F.col("doc_id").alias("rep"))
     rows = all_sets.select("doc_id", "n_shingles", "key1", "key2").join(copies, ["key1", "key2"], "left")
     linked = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id"))
     rows = rows.withColumn("node", linked).join(comps, "node", "left")

@@ -6,7 +6,7 @@ holds MIN_WORDS words or more is hashed from its words (A-Z in lower case, white
 places of those that occur twice or more are joined. Of each repeated span the place of least (doc_id, sentence) is the
 first; every sentence that any other place covers is removed.
 
-Counting combines before it shuffles, and a bitmap of FILTER_BITS hashed values, of fixed size, keeps spans that occur
+Counting combines before it shuffles, and a bitmap of hashed values, of bounded size, keeps spans that occur
 once, and documents that lose nothing, out of the later shuffles; the joins behind it are exact.
 
 Defined results: null and empty texts have no sentences; a null text stays null. A null doc_id takes no part: its text
