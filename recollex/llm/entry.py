@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recollex.llm import ann, mixing, urls
+from recollex.llm import ann, mixing, neardup, quality, urls
 from recollex.llm.ann import op4_nearest
 from recollex.llm.bpe import op1_bpe
 from recollex.llm.mixing import op2_mixing
@@ -37,4 +37,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_mixing": mixing.SQL, "op3_url_filter": urls.sql(), "op4_nearest": ann.SQL}
+    return {"op2_mixing": mixing.SQL, "op3_url_filter": urls.sql(), "op4_nearest": ann.SQL, "op6_near_duplicates": neardup.SQL, "op8_quality": quality.sql()}
