@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from recollex.functions import rules, text
-from recollex.operators import beliefs, detectors, facts, graph, metrics, retrieval
+from recollex.functions import embed, rules, text
+from recollex.operators import beliefs, detectors, facts, graph, metrics, report, retrieval
 from recollex.plans import answers, router
 from recollex.streaming import windows
 
@@ -596,3 +596,91 @@ def q_stream_session_window(spark, d):
 def q_stream_dedupe(spark, d):
     e = load(spark, d, "events")
     return windows.once(e.unionByName(e)).select("event_id", "user_id")
+
+
+# ---- reports and model hooks ----
+@query("WITH b AS (SELECT greatest(1, least(20, floor((value - 0) / 5.0)::INTEGER + 1)) AS bin, count(*) AS n FROM events GROUP BY ALL) SELECT i::INTEGER AS bin, ((i - 1) * 5.0)::DOUBLE AS \"from\", coalesce(n, 0)::BIGINT AS n FROM range(1, 21) t(i) LEFT JOIN b ON b.bin = i")
+def q_confidence_histogram(spark, d):
+    return report.histogram(load(spark, d, "events"), "value", 0.0, 100.0, 20)
+
+
+@query("SELECT event_type, day, n::BIGINT AS n, sum(n) OVER (PARTITION BY event_type ORDER BY day)::BIGINT AS so_far FROM (SELECT event_type, ts::DATE AS day, count(*) AS n FROM events GROUP BY ALL)")
+def q_timeline(spark, d):
+    return report.timeline(load(spark, d, "events"), "ts", "event_type")
+
+
+@query(_CHAIN + "SELECT before AS belief_id, 'purchase ' || event_id AS replaced_by FROM p WHERE before IS NOT NULL")
+def q_successors(spark, d):
+    links = _chain(spark, d).where("before is not null").select(F.col("before").alias("old_id"), F.col("event_id").alias("new_id"))
+    names = load(spark, d, "events").select(F.col("event_id").alias("belief_id"), F.concat(F.lit("purchase "), "event_id").alias("text"))
+    return report.successors(links, names)
+
+
+@query("SELECT o_custkey, round(sum(o_totalprice) FILTER (o_orderstatus = 'F'), 2) AS before, round(sum(o_totalprice) FILTER (o_orderstatus = 'O'), 2) AS after, round(round(sum(o_totalprice) FILTER (o_orderstatus = 'O'), 2) - round(sum(o_totalprice) FILTER (o_orderstatus = 'F'), 2), 2) AS gain FROM orders WHERE o_orderstatus IN ('F', 'O') GROUP BY o_custkey HAVING count(*) FILTER (o_orderstatus = 'F') > 0 AND count(*) FILTER (o_orderstatus = 'O') > 0")
+def q_run_comparison(spark, d):
+    o = load(spark, d, "orders").groupBy("o_custkey", "o_orderstatus").agg(F.round(F.sum("o_totalprice"), 2).alias("v"))
+    return report.compared(o.where("o_orderstatus = 'F'"), o.where("o_orderstatus = 'O'"), "o_custkey", "v").withColumn("gain", F.round("gain", 2))
+
+
+@query("SELECT event_id, user_id, ts FROM events ORDER BY ts, event_id LIMIT 25 OFFSET 50")
+def q_history_page(spark, d):
+    return beliefs.page(load(spark, d, "events").select("event_id", "user_id", "ts"), 50, 25, "ts", "event_id")
+
+
+@query("SELECT doc_id, lang FROM documents WHERE contains(lower(text), 'license')")
+def q_term_history(spark, d):
+    rows = load(spark, d, "documents").select("doc_id", "lang", "text", F.col("doc_id").alias("asserted_at"), F.col("doc_id").alias("belief_id"))
+    return beliefs.term_history(rows, "License").select("doc_id", "lang")
+
+
+@query("SELECT c_custkey, max(o_orderdate) AS last_order, coalesce(max(o_orderdate), TIMESTAMP '1970-01-01') AS last_access FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
+def q_last_access(spark, d):
+    c = load(spark, d, "customer").select(F.col("c_custkey").alias("belief_id"), F.lit("1970-01-01").cast("timestamp_ntz").alias("asserted_at"))
+    o = load(spark, d, "orders").select(F.col("o_custkey").alias("belief_id"), F.col("o_orderdate").alias("asserted_at"))
+    last = o.groupBy("belief_id").agg(F.max("asserted_at").alias("last_order"))
+    return beliefs.last_access(c, o).join(last, "belief_id", "left").select(F.col("belief_id").alias("c_custkey"), "last_order", "last_access")
+
+
+@query("WITH k AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS i FROM embeddings) SELECT a.vec_id AS a, b.vec_id AS b, 0.01::DOUBLE AS weight FROM k a JOIN k b ON a.label = b.label AND a.vec_id < b.vec_id WHERE a.i <= 200 AND b.i <= 200")
+def q_session_seeds(spark, d):
+    rows = load(spark, d, "embeddings").select(F.col("label").alias("session_id"), F.col("vec_id").alias("belief_id"))
+    none = spark.createDataFrame([], "a long, b long, weight double")
+    return graph.seeded_sessions(rows, none, 0.01)
+
+
+@query("SELECT conv_id, turn, CASE WHEN contains(text, ' the ') THEN ['the'] ELSE [] END AS found FROM conversations")
+def q_json_salvage(spark, d):
+    """Answers as a model may write them, with fences and words around, back to records."""
+    answer = F.when(F.col("text").contains(" the "), F.lit('Sure:\n```json\n[{"entity": "the", "value": 1}]\n```')).otherwise(F.lit("[]"))
+    got = embed.salvaged(answer, "struct<entity:string,value:double>")
+    return load(spark, d, "conversations").select("conv_id", "turn", F.transform(got, lambda r: r["entity"]).alias("found"))
+
+
+@query()
+def q_hash_embedding(spark, d):
+    rows = load(spark, d, "conversations").select("conv_id", "turn", embed.hash_embedding(32)(F.col("text")).alias("v"))
+    return rows.select("conv_id", "turn", F.round(retrieval.dot(F.col("v"), F.col("v")), 4).alias("norm"), F.size("v").alias("dim"))
+
+
+@query()
+def q_learned_relation(spark, d):
+    e = load(spark, d, "embeddings").select("vec_id", "label", "embedding")
+    one = e.where("vec_id % 7 = 0").select(F.col("vec_id").alias("a"), F.col("label").alias("la"), F.col("embedding").alias("x"), (F.col("vec_id") + 1).alias("next"))
+    pairs = one.join(e.select(F.col("vec_id").alias("next"), F.col("label").alias("lb"), F.col("embedding").alias("y")), "next").withColumn("label", (F.col("la") == F.col("lb")).cast("double"))
+    return embed.predict_pairs(embed.fit_pairs(pairs), pairs).select("a", "next", "related")
+
+
+@query()
+def q_bootstrap_interval(spark, d):
+    return metrics.bootstrap(load(spark, d, "labels").select(F.col("quality").cast("double").alias("q")), "q", 200)
+
+
+@query("SELECT lang, round(avg(quality), 6) AS mean, count(quality)::BIGINT AS n FROM documents JOIN labels USING (doc_id) GROUP BY ROLLUP (lang)")
+def q_macro_average(spark, d):
+    rows = load(spark, d, "documents").join(load(spark, d, "labels"), "doc_id")
+    return metrics.macro(rows, "quality", "lang").withColumn("mean", F.round("mean", 6))
+
+
+@query("WITH c AS (SELECT label AS gold, (vec_id % 10)::INTEGER AS p FROM embeddings), k AS (SELECT DISTINCT label AS class FROM embeddings) SELECT class, round(count(*) FILTER (gold = class AND p = class) / nullif(count(*) FILTER (gold = class), 0), 6) AS recall, round(count(*) FILTER (gold = class AND p = class) / nullif(count(*) FILTER (p = class), 0), 6) AS precision FROM k, c GROUP BY class")
+def q_per_class(spark, d):
+    return metrics.per_class(q_confusion_matrix(spark, d)).select("class", F.round("recall", 6).alias("recall"), F.round("precision", 6).alias("precision"))
