@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -125,7 +126,7 @@ def q_session_capped_topk(spark, d):
 @query(_COS + ", r AS (SELECT *, row_number() OVER (ORDER BY score DESC, vec_id) AS rank FROM s) SELECT label AS session_id, min(rank)::INTEGER AS rank FROM r GROUP BY label ORDER BY rank LIMIT 5")
 def q_first_k_sessions(spark, d):
     scored = retrieval.vector_scores(load(spark, d, "embeddings"), _q(spark, d)).withColumnRenamed("label", "session_id")
-    return retrieval.first_sessions(retrieval.ranked(scored, "vec_id", 1 << 30), 5).select("session_id", "rank")
+    return retrieval.leading_sessions(scored, "vec_id", 5)
 
 
 @query(_BM25 + f""", top AS (SELECT doc_id FROM s WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 10),
@@ -587,6 +588,16 @@ def q_stream_tumbling(spark, d):
     return windows.tumbling(load(spark, d, "events"), "1 day", "1 hour", "event_type").withColumn("total", F.round("total", 4))
 
 
+@query("SELECT time_bucket(INTERVAL 6 HOUR, ts) AS start, event_type, count(*)::BIGINT AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def q_stream_live(spark, d):
+    """The same windows from a running stream of files, drained into memory."""
+    path = f"{d}/events.parque*"  # a pattern may name a file or a folder
+    events = windows.read_stream(spark, path, load(spark, d, "events").schema, 100)
+    found = windows.tumbling(events, "6 hours", "60 days", "event_type")
+    name = f"live_{uuid.uuid4().hex}"
+    return windows.drained(found, name, "complete").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
 @query("WITH g AS (SELECT user_id, ts, coalesce((ts >= lag(ts) OVER w + INTERVAL 2 HOUR)::INTEGER, 1) AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM g) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 2 HOUR AS \"end\", count(*)::BIGINT AS n FROM s GROUP BY user_id, s")
 def q_stream_session_window(spark, d):
     return windows.sessions(load(spark, d, "events"), "2 hours")

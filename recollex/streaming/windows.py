@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,8 +15,10 @@ from recollex.operators.beliefs import Store, rows_of
 
 
 def read_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
-    """Parquet files as they arrive."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+    """Parquet files as they arrive; a naive `ts` is one of the session's time zone, as watermarks need instants."""
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+    naive = dict(rows.dtypes).get("ts") == "timestamp_ntz"
+    return rows.withColumn("ts", F.col("ts").cast("timestamp")) if naive else rows
 
 
 def tumbling(events: DataFrame, width: str = "1 day", late: str = "1 hour", *by: str) -> DataFrame:
@@ -61,6 +64,11 @@ def fold_stream(log: DataFrame) -> DataFrame:
 
 def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """All that is there now, run through the stream into a table in memory; for tests and small feeds."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    spark = stream.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    writer = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
+    if shared:  # the folder that driver and executors share; without one (tests) Spark makes its own
+        writer = writer.option("checkpointLocation", f"{shared}/stream-{uuid.uuid4().hex}")
+    query = writer.start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.table(name)
