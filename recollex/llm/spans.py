@@ -1,7 +1,9 @@
 """Substring dedup by sliding sentence spans.
 
-A sentence ends at a word that ends in . ! ? (a closing quote or bracket may follow) or before a line break, and after
-LONGEST words, so that text without punctuation is cut as well. From every sentence on, the shortest run of RUN sentences or more that
+A sentence, here, ends at a word that ends in . ! ? , ; or : (a closing quote or bracket may follow), before a line break,
+and at every word whose hash is divisible by CUT, so that text without punctuation is cut as well. Where a text is cut
+depends on the words at that place alone, so a passage that was copied from the middle of a sentence into the middle of
+another is cut alike in both. From every sentence on, the shortest run of RUN sentences or more that
 holds MIN_WORDS words or more is hashed from its words (A-Z in lower case, white space does not count); the hashes of all documents are counted, and the
 places of those that occur twice or more are joined. Of each repeated span the place of least (doc_id, sentence) is the
 first; every sentence that any other place covers is removed.
@@ -26,38 +28,35 @@ from pyspark.sql import functions as F
 from recollex.llm import kernels
 from recollex.llm.common import bitmap, may_be_in, table, written
 
-RUN, MIN_WORDS, LONGEST = 3, 25, 20
+RUN, MIN_WORDS, CUT = 3, 25, 8
 _ENDS = np.zeros(256, dtype=bool)
-_ENDS[[ord(c) for c in ".!?"]] = True
+_ENDS[[ord(c) for c in ".!?,;:"]] = True
 _CLOSES = np.zeros(256, dtype=bool)
 _CLOSES[[ord(c) for c in "\"')]"]] = True
 
 
-def sentences(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends in bytes, words of each sentence's start in `words`, first sentence of each text and the end)."""
+def sentences(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends in bytes, first word of each sentence and the end, first sentence of each text and the end, hashes of words)."""
     starts, ends, first = kernels.word_bounds(raw, off)
     n = len(starts)
     if not n:
         empty = np.zeros(0, np.int64)
-        return empty, empty, np.zeros(1, np.int64), np.zeros(len(off), np.int64)
+        return empty, empty, np.zeros(1, np.int64), np.zeros(len(off), np.int64), np.zeros(0, np.uint64)
+    hashes = kernels.span_hashes(raw, starts, ends, lower=True)
     last = raw[ends - 1]
     stops = _ENDS[last] | (_CLOSES[last] & _ENDS[raw[np.maximum(ends - 2, starts)]])
     lines = np.concatenate([[0], np.cumsum(raw == 10)])
     stops[:-1] |= lines[starts[1:]] > lines[ends[:-1]]
     borders = first[1:]
     stops[borders[borders > 0] - 1] = True
-    begins = np.concatenate([[True], stops[:-1]])
-    at = np.flatnonzero(begins)
-    place = np.arange(n) - np.repeat(at, np.diff(np.concatenate([at, [n]])))
-    words = np.flatnonzero(place % LONGEST == 0)
+    stops |= hashes % np.uint64(CUT) == 0
+    words = np.concatenate([[0], np.flatnonzero(stops[:-1]) + 1])
     bounds = np.concatenate([words, [n]])
-    return starts[words], ends[bounds[1:] - 1], bounds, np.searchsorted(words, first)
+    return starts[words], ends[bounds[1:] - 1], bounds, np.searchsorted(words, first), hashes
 
 
-def _sentence_hashes(raw: np.ndarray, off: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+def _sentence_hashes(words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """A hash of each sentence from those of its words, whatever the white space between them."""
-    starts, ends, _ = kernels.word_bounds(raw, off)
-    words = kernels.span_hashes(raw, starts, ends, lower=True)
     n = np.diff(bounds)
     place = np.arange(len(words)) - np.repeat(bounds[:-1], n)
     scaled = kernels.mix(words + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -68,13 +67,13 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         for at, end, raw, off in kernels.slices(batch.column(1)):
-            _, _, bounds, first = sentences(raw, off)
+            _, _, bounds, first, words = sentences(raw, off)
             n = len(bounds) - 1
             until = np.maximum(np.arange(n) + RUN, np.searchsorted(bounds, bounds[:-1] + MIN_WORDS))
             text = np.repeat(np.arange(end - at), np.diff(first))
             place = np.flatnonzero(until <= first[text + 1])
             text, until = text[place], until[place]
-            grams = kernels.range_hashes(_sentence_hashes(raw, off, bounds), place, until)
+            grams = kernels.range_hashes(_sentence_hashes(words, bounds), place, until)
             yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(ids[at:end][text], pa.int64()), *(pa.array((x - first[text]).astype(np.int32)) for x in (place, until))], ["span", "doc", "place", "until"])
 
 
@@ -84,7 +83,7 @@ def _removed(docs_at: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
         column = batch.column("text")
         places = batch.column("places")
         for at, end, raw, off in kernels.slices(column):
-            starts, ends, bounds, first = sentences(raw, off)
+            starts, ends, bounds, first, _ = sentences(raw, off)
             rows = []
             for r in range(end - at):
                 text = raw[off[r] : off[r + 1]].tobytes()
@@ -160,10 +159,11 @@ def brute_force(rows: list[tuple[int | None, str | None]]) -> dict[int, set[int]
         for line in text.split("\n"):
             open_ = False
             for word in re.findall(r"[^\x20\x09-\x0D]+", line):
-                if not open_ or len(cut[-1]) == LONGEST:
+                if not open_:
                     cut.append([])
                 cut[-1].append(re.sub("[A-Z]", lambda m: m[0].lower(), word))
-                open_ = not re.search(r"[.!?][\"')\]]?$", word)
+                raw, off = kernels.text_bytes(pa.array([word]))
+                open_ = not re.search(r"[.!?,;:][\"')\]]?$", word) and kernels.span_hashes(raw, off[:1], off[1:], lower=True)[0] % CUT != 0
         for i in range(len(cut) - RUN + 1):
             until = next((j for j in range(i + RUN, len(cut) + 1) if sum(map(len, cut[i:j])) >= MIN_WORDS), 0)
             if until:
