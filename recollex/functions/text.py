@@ -241,6 +241,11 @@ def validity_days(text: Column) -> Column:
     return n * days
 
 
+def valid_until(text: Column) -> Column:
+    """The date behind `until`, `through` or `till`, if it is written out; null otherwise."""
+    return F.try_element_at(dates(F.regexp_extract(text, r"(?i)\b(?:until|through|till?)\s+([A-Za-z0-9,\s\-/]+)", 1)), F.lit(1))
+
+
 def valid_at(at: Column, mode: Column, start: Column, end: Column, half_life_days: Column) -> Column:
     """Whether a belief holds at a time: a dated range up to its end, a duration for three half-lives, else always on."""
     begun = start.isNull() | (start <= at)

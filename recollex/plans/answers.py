@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from recollex.functions import text
 from recollex.operators import beliefs as state_ops
 from recollex.operators import facts as fact_ops
+from recollex.operators import graph as graph_ops
 from recollex.operators import retrieval
 from recollex.plans import router
 
@@ -87,6 +88,22 @@ def themed(rows: DataFrame, words: list[str]) -> DataFrame:
     return rows.where(F.arrays_overlap(text.entity_words(F.col("text")), F.array(*map(F.lit, words))))
 
 
+# ---- the whole retrieval pipeline ----
+
+def retrieve(docs: DataFrame, key: str, question: str, vectors: DataFrame, query_vector: DataFrame, pairs: DataFrame, k: int = 20, mmr_k: int = 30, cap: int = 5, pool: int = 2000) -> DataFrame:
+    """(id, rank, score) of the k answers: fused candidates, walked over the attribute graph, diversified.
+
+    vectors: key, session_id, embedding; pairs: edges of the graph over the keys. What a walk and the diversification see
+    is bounded by the pool.
+    """
+    fused = retrieval.hybrid(docs, key, question, vectors, query_vector, pool=pool)
+    start = fused.select(F.lit(0).cast("long").alias("query_id"), F.col(key).cast("long").alias("node"), "score")
+    walked = graph_ops.songline_walk(start, pairs).orderBy(F.desc("score"), "node").limit(pool)
+    rows = walked.join(vectors.select(F.col(key).cast("long").alias("node"), "session_id", "embedding"), "node")
+    picked = retrieval.mmr(rows.select("query_id", F.col("node").alias("id"), "session_id", "score", "embedding"), mmr_k, cap=cap)
+    return picked.where(F.col("rank") <= k).select("id", "rank", F.col("mmr").alias("score"))
+
+
 # ---- the facade ----
 
 @dataclass

@@ -145,6 +145,15 @@ def q_mmr(spark, d):
     return retrieval.mmr(scored.select(F.lit(0).cast("long").alias("query_id"), F.col("vec_id").alias("id"), F.col("label").alias("session_id"), "score", "embedding"))
 
 
+@query()
+def q_retrieval_pipeline(spark, d):
+    docs = load(spark, d, "documents")
+    vectors = load(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("label").alias("session_id"), "embedding")
+    attributes = docs.select(F.col("doc_id").alias("node"), F.explode(F.array(F.struct(F.lit("entity").alias("channel"), F.col("source").alias("value")), F.struct(F.lit("speaker").alias("channel"), F.col("lang").alias("value")))).alias("p"))
+    pairs = graph.edges(attributes.select("node", "p.channel", "p.value"))
+    return answers.retrieve(docs, "doc_id", QUESTION, vectors, _q(spark, d), pairs, pool=200)
+
+
 @query()
 def q_songline_walk(spark, d):
     pairs = graph.edges(_order_attributes(spark, d))

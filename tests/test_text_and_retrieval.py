@@ -45,6 +45,7 @@ def test_routes(spark, question, route):
 def test_small_columns(spark):
     assert one(spark, "On 2024-05-01 and May 2, 2024, and 05/01/2024", text.dates)[0].isoformat() == "2024-05-01"
     assert one(spark, "for two weeks", text.validity_days) == 14 and one(spark, "the next month", text.validity_days) == 30
+    assert one(spark, "I am away until 2024-05-03.", text.valid_until).isoformat() == "2024-05-03" and one(spark, "until soon", text.valid_until) is None
     assert one(spark, "x" * 9000, text.overlapping_chunks)[1][:1] == "x" and len(one(spark, "x" * 9000, text.overlapping_chunks)) == 3
     assert one(spark, "user: hi there\nassistant: no\nhuman: bye", text.user_turns) == "hi there\nbye"
     assert one(spark, "a\n\nb\n\n# h\nc", lambda c: text.packed_chunks(c, 5)) == ["a\n\nb", "# h\nc"]
