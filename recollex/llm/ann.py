@@ -10,7 +10,7 @@ the result is that of brute force.
 
 Defined results: vectors that are null, zero, empty, or hold null, NaN or infinite components take no part, neither do
 null ids. Vectors meet only those of their own dimension. Rows that share a vec_id are vectors of their own, but no
-query finds a row of its own id. Ties go to the smaller vec_id. Other columns are ignored.
+query finds a row of its own id, and where several rows ask under one id, the nearest of all of them are given. Ties go to the smaller vec_id. Other columns are ignored.
 """
 
 from __future__ import annotations
