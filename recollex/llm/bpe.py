@@ -28,11 +28,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recollex.llm import kernels
 from recollex.llm.common import table
 
 #: Texts (in characters) whose new words share one traversal, and white-space-free chunks that a worker remembers.
 SLICE_CHARS = 2_000_000
-REMEMBERED = 500_000
+REMEMBERED = 250_000
 _SPACES = regex.compile(r"\p{White_Space}+")
 _CONTROLS = regex.compile("[\x1c-\x1f]")
 #: The pre-tokens of the file: fixed values.
@@ -137,7 +138,7 @@ class Tokenizer:
     def encode_words(self, words: Iterable[bytes]) -> dict[bytes, list[int]]:
         """The ids of each distinct word: one walk over the trie of the words, depth first."""
         steps, token_at, length, beside = self.steps, self.token_at, self.length, self._beside
-        if len(beside) > 400_000:
+        if len(beside) > 200_000:
             beside.clear()
         found: dict[bytes, list[int]] = {b"": []}
         last, before = [0], b""  # last[i]: the last token of the encoding of the first i letters, the word going on
@@ -256,14 +257,8 @@ class Encoder:
             yield [x for x in map(self.known.__getitem__, some) if x[1]]
 
 
-@functools.lru_cache(maxsize=2)
-def encoder_of(path: str) -> Encoder:
-    """A worker's encoder; what it has learnt serves its next tasks."""
-    return Encoder(path)
-
-
 def _encoded(path: str, digests: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    encoder = encoder_of(path)
+    encoder = Encoder(path)  # ends with the task: a worker that waits for its next one holds only the vocabulary
     for batch in batches:
         at = 0
         while at < batch.num_rows:
@@ -309,7 +304,7 @@ def encode(docs: DataFrame, path: str | None = None, digests: bool = False) -> D
     path = path or default_path()
     schema = "doc_id long, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string")
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(lambda it: _encoded(path, digests, it), schema)
+    return rows.mapInArrow(lambda it: kernels.tidy(_encoded(path, digests, it)), schema)
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ sums modulo 2^64, then mixed. It depends on the word alone, not on its place, te
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -151,3 +152,14 @@ def sorted_runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Tab
         last = key[-1]
     if held:
         yield pa.Table.from_batches(held)
+
+
+def tidy(out: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """out, and at its end the memory that the task has freed goes back to the system: a worker waits for its next task."""
+    try:
+        yield from out
+    finally:
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)

@@ -95,7 +95,7 @@ def _sketched(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 def sketches(docs: DataFrame, k: int = SHINGLE_WORDS) -> DataFrame:
     """doc_id, n_shingles, key1 and key2 (128 bits that equal sets share) and registers of each row's shingle set."""
     schema = "doc_id long, n_shingles long, key1 long, key2 long, registers binary"
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lambda it: _sketched(k, it), schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lambda it: kernels.tidy(_sketched(k, it)), schema)
 
 
 def _sets(k: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,14 +278,14 @@ def _remaining_links(docs: DataFrame, members: DataFrame, comps: DataFrame, held
         rows = rows.select("bucket", "i", "j", "block", "doc", "component", "n_shingles", "registers", *more)
         return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
 
-    likely = dealt(apart.join(registers, "doc")).mapInArrow(lambda it: _with_candidates(percent, it), "bucket long, i long, j long, doc long")
+    likely = dealt(apart.join(registers, "doc")).mapInArrow(lambda it: kernels.tidy(_with_candidates(percent, it)), "bucket long, i long, j long, doc long")
     likely = written(likely, "likely")
     lacking = likely.select("doc").distinct().join(sets, "doc", "left_anti")
     full = sets.unionByName(_full_sets(docs, lacking, k)).join(likely.select("doc").distinct(), "doc", "left_semi")
     rows = apart.join(likely, ["bucket", "i", "j", "doc"], "left_semi").join(registers, "doc")
     keys = ["doc", "n_shingles"]
     rows = rows.join(full.withColumn("n_shingles", F.size("shingles").cast("long")), keys)
-    return dealt(rows, "shingles").mapInArrow(lambda it: _links_of_run(percent, it), "u long, v long")
+    return dealt(rows, "shingles").mapInArrow(lambda it: kernels.tidy(_links_of_run(percent, it)), "u long, v long")
 
 
 def _full_sets(docs: DataFrame, named: DataFrame, k: int) -> DataFrame:
@@ -293,7 +293,7 @@ def _full_sets(docs: DataFrame, named: DataFrame, k: int) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
     named = written(named, "named")
     texts = may_be_in(texts, "doc", bitmap(named, "doc")).join(named.distinct(), "doc").select("doc", "text")
-    return written(texts.mapInArrow(lambda it: _sets(k, it), "doc long, shingles array<bigint>"), "sets")
+    return written(texts.mapInArrow(lambda it: kernels.tidy(_sets(k, it)), "doc long, shingles array<bigint>"), "sets")
 
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:

@@ -112,7 +112,7 @@ def _removed(docs_at: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Rec
 def repeated_places(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc, places) of the non-first places of repeated spans; and the ids of these documents."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    spans = written(rows.mapInArrow(_spans, "span long, doc long, place int, until int"), "spans")
+    spans = written(rows.mapInArrow(lambda it: kernels.tidy(_spans(it)), "span long, doc long, place int, until int"), "spans")
     counted = written(spans.groupBy("span").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("span"), "repeated")
     found = may_be_in(spans, "span", bitmap(counted, "span")).join(counted, "span")
     found = written(found.distinct(), "places")
@@ -133,7 +133,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     columns = ["doc_id", "text", "places"]
 
     def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _removed(1, batches)
+        return kernels.tidy(_removed(1, batches))
 
     return touched.select(columns).mapInArrow(removed, schema).unionByName(free.select(columns).mapInArrow(removed, schema))
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from recollex.llm import kernels
 from recollex.llm.common import table
 
-SAMPLE, SAMPLE_CHARS = 8000, 20_000
+SAMPLE, SAMPLE_CHARS = 6000, 20_000
 WORD_ROWS, PREFIX_ROWS, WIDTH = 1 << 17, 1 << 15, 8
 WIDTHS, FILTERS = (1, 2, 3), 8
 EPOCHS, BATCH, RATE, DECAY = 6, 32, 0.05, 1e-4
@@ -215,8 +215,10 @@ def train(texts: pa.Array, y: np.ndarray) -> Net | None:
     y = y.astype(np.float32)
     if not 0 < y.sum() < len(y):
         return None
-    raw, off = kernels.text_bytes(texts)
-    rows, first, language = features(raw, off)
+    parts = [features(raw, off) for _, _, raw, off in kernels.slices(texts)]
+    rows = np.concatenate([r for r, _, _ in parts])
+    first = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(f) for _, f, _ in parts]))])
+    language = np.concatenate([x for _, _, x in parts])
     fold = np.arange(len(y)) % FOLDS == 0
     if not 0 < y[~fold].sum() < (~fold).sum() or not 0 < y[fold].sum() < fold.sum():
         fold[:] = False
@@ -269,7 +271,7 @@ def score(docs: DataFrame, net: Net | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values), pa.array((values >= 0.5).astype(np.int32))], [*batch.schema.names, "score", "predicted"])
 
     fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(scored, f"{fields}, score double, predicted int")
+    return docs.mapInArrow(lambda it: kernels.tidy(scored(it)), f"{fields}, score double, predicted int")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
