@@ -42,24 +42,23 @@ def repeated_words(hashes: Column, n: Column) -> Column:
     return F.zip_with(F.slice(four, 1, F.greatest(n - 4, F.lit(0))), F.slice(hashes, 5, n), lambda a, b: F.xxhash64(a, b))
 
 
-def _covered(windows: Column) -> Column:
-    """See repeated_words; windows is a column, not an expression."""
-    size = F.size(windows)
+def _with_repeats(rows: DataFrame) -> DataFrame:
+    """rows with n_repeat_words in the place of windows; see repeated_words. Each step is a column, so none runs twice."""
+    some = F.size("windows") > F.size(F.array_distinct("windows"))
     none = F.expr("cast(null as struct<h:bigint, i:int>)")
-    placed = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    around = F.zip_with(F.concat(F.array(none), placed), F.concat(placed, F.array(none)), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])))
-    places = F.array_sort(F.array_distinct(F.flatten(F.filter(around, lambda x: x.isNotNull()))))
-    gaps = F.zip_with(F.slice(places, 1, F.size(places) - 1), F.slice(places, 2, F.size(places)), lambda a, b: F.least(b - a, F.lit(WINDOW)))
+    rows = rows.withColumn("placed", F.when(some, F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+    around = F.zip_with(F.concat(F.array(none), "placed"), F.concat("placed", F.array(none)), lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])))
+    rows = rows.withColumn("places", F.sort_array(F.array_distinct(F.flatten(F.filter(around, lambda x: x.isNotNull())))))
+    n = F.size("places")
+    gaps = F.zip_with(F.slice("places", 1, n - 1), F.slice("places", 2, n), lambda a, b: F.least(b - a, F.lit(WINDOW)))
     total = F.aggregate(gaps, F.lit(WINDOW), lambda s, g: s + g).cast("long")
-    return F.when(size - F.size(F.array_distinct(windows)) == 0, F.lit(0).cast("long")).otherwise(total)
+    return rows.withColumn("n_repeat_words", F.when(F.col("placed").isNotNull(), total).otherwise(F.lit(0).cast("long"))).drop("windows", "placed", "places")
 
 
 def line_fails(line: Column) -> Column:
-    """Whether a line, a struct of line, low and words, fails a rule other than boilerplate."""
-    text, words = line["line"], line["words"]
+    """Whether a line, a struct of line, low, words, seen and symbols, fails a rule other than boilerplate."""
+    text, words, seen, symbols = line["line"], line["words"], line["seen"], line["symbols"]
     n = F.size(words)
-    seen = F.length(F.regexp_replace(text, SPACES, ""))
-    symbols = F.length(text) - F.length(F.regexp_replace(text, _SYMBOL, ""))
     separators = F.size(F.filter(words, lambda w: w.isin("|", ">", "»", "·", "•", "/")))
     loud = F.size(F.filter(words, lambda w: w.endswith("!!") | w.endswith("??")))
     closed = text.rlike(r"[.!?:;,…\"'”’»)\]][\x20\x09-\x0D]*$")
@@ -78,30 +77,38 @@ def is_boilerplate(line: Column) -> Column:
 def clean(docs: DataFrame) -> DataFrame:
     """doc_id, text, the base counts, base_failed, kept_words, judged_words, cleaned (the lines that stay) and kept."""
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("hashes", F.transform(F.split("text", SPACES), lambda w: F.when(w != "", F.xxhash64(w))))
-    rows = rows.withColumn("hashes", F.array_compact("hashes"))
-    rows = rows.withColumn("lines", F.filter(F.split("text", "\n"), lambda x: x.rlike(WORD)))
+    lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(WORD))
+    rows = rows.withColumn("read", F.transform(lines, lambda x: F.struct(x.alias("line"), F.lower(x).alias("low"), _words(x).alias("words"))))
+    counted = lambda x: F.struct(
+        x["line"].alias("line"), x["low"].alias("low"), x["words"].alias("words"), F.length(F.array_join(x["words"], "")).alias("seen"),
+        (F.length(x["line"]) - F.length(F.regexp_replace(x["line"], _SYMBOL, ""))).alias("symbols"),
+    )
+    rows = rows.withColumn("read", F.transform("read", counted))
+    rows = rows.withColumn("hashes", F.transform(F.flatten(F.transform("read", lambda x: x["words"])), lambda w: F.xxhash64(w)))
     n = F.size("hashes")
+
+    def total(field: str) -> Column:
+        return F.aggregate("read", F.lit(0).cast("long"), lambda s, x: s + x[field])
+
     rows = rows.select(
-        "doc_id", "text", "lines",
+        "doc_id", "text", "read",
         n.cast("long").alias("n_words"),
-        F.length(F.regexp_replace("text", SPACES, "")).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(F.regexp_replace("text", _SYMBOL, ""))).cast("long").alias("n_symbols"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
+        total("seen").alias("word_chars"),
+        total("symbols").alias("n_symbols"),
+        (F.size("read") - F.size(F.array_distinct(F.transform("read", lambda x: x["line"])))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("hashes"), n).alias("windows"),
     )
-    rows = rows.withColumn("n_repeat_words", _covered(F.col("windows"))).drop("windows")
+    rows = _with_repeats(rows)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    read = F.transform("lines", lambda x: F.struct(x.alias("line"), F.lower(x).alias("low"), _words(x).alias("words")))
-    judged = F.transform(read, lambda x: F.struct(x["line"].alias("line"), is_boilerplate(x).alias("aside"), line_fails(x).alias("fails"), F.size(x["words"]).alias("n")))
-    rows = rows.withColumn("base_failed", failed).withColumn("judged", judged).drop("lines")
+    judged = F.transform("read", lambda x: F.struct(x["line"].alias("line"), is_boilerplate(x).alias("aside"), line_fails(x).alias("fails"), F.size(x["words"]).alias("n")))
+    rows = rows.withColumn("base_failed", failed).withColumn("judged", judged).drop("read")
 
-    def counted(which) -> Column:
+    def words_of(which) -> Column:
         return F.aggregate(F.filter("judged", which), F.lit(0).cast("long"), lambda s, x: s + x["n"])
 
     rows = rows.withColumns({
-        "judged_words": counted(lambda x: ~x["aside"]),
-        "kept_words": counted(lambda x: ~x["aside"] & ~x["fails"]),
+        "judged_words": words_of(lambda x: ~x["aside"]),
+        "kept_words": words_of(lambda x: ~x["aside"] & ~x["fails"]),
         "cleaned": F.array_join(F.transform(F.filter("judged", lambda x: ~x["aside"] & ~x["fails"]), lambda x: x["line"]), "\n"),
     })
     enough = 100 * F.col("kept_words") >= KEEP_PERCENT * F.col("judged_words")
@@ -126,7 +133,8 @@ def sql() -> str:
     x AS (SELECT r, line, regexp_extract_all(line, '{word}+') AS w FROM (SELECT r, unnest(l) AS line FROM w)),
     y AS (SELECT r, len(w) AS n, ({aside}) AS aside, (100 * (length(line) - length(regexp_replace(line, '[#*$%&|<>]', '', 'g'))) >= {SYMBOL_PERCENT} * length(array_to_string(w, ''))
             OR 3 * len(list_filter(w, lambda t: list_contains(['|', '>', '»', '·', '•', '/'], t))) >= len(w)
-            OR (len(w) <= 3 AND NOT regexp_matches(line, '[.!?:;,…"''”’»)\]][ 	-]*$'))
+            OR (len(w) <= 3 AND NOT regexp_matches(line, '[.!?:;,…"''”’»)\]][ 	-
+]*$'))
             OR (len(w) >= 3 AND upper(line) = line AND lower(line) <> line)
             OR 2 * len(list_filter(w, lambda t: ends_with(t, '!!') OR ends_with(t, '??'))) > len(w)
             OR 3 * len(list_filter(range(1, len(w)), lambda i: w[i] = w[i + 1])) >= len(w)) AS fails FROM x),
