@@ -33,7 +33,7 @@ from recollex.llm.common import table
 
 #: Texts (in characters) whose new words share one traversal, and white-space-free chunks that a worker remembers.
 SLICE_CHARS = 2_000_000
-REMEMBERED = 250_000
+REMEMBERED = 400_000
 _SPACES = regex.compile(r"\p{White_Space}+")
 _CONTROLS = regex.compile("[\x1c-\x1f]")
 #: The pre-tokens of the file: fixed values.
