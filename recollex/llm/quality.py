@@ -3,8 +3,10 @@
 A line (between newlines) that holds a word fails if it is navigation (separators between nearly all of its words, or
 three words at most without closing punctuation), symbols (SYMBOL_PERCENT of its visible characters or more), shouting
 (three words or more, all capitals), broken (over half of its words end in doubled exclamation or question marks), stuttering (a
-third of its words repeat the one before) or boilerplate (licence, rights and cookie phrases). Boilerplate is taken out without being held against the document; of
-the other lines' words at least KEEP_PERCENT must stay. Before that, the base rules reject documents of fewer than
+third of its words repeat the one before). Of a line that passes, boilerplate goes: the sentences, of BOILERPLATE_WORDS words at
+most, that hold a licence, rights or cookie phrase; a longer sentence only mentions it and stays. They aren't held against
+the document, as short clean texts under a licence line are labelled clean; of all other words at least KEEP_PERCENT must
+stay, and one at all. Before that, the base rules reject documents of fewer than
 MIN_WORDS words and those with over REPEAT_PERCENT of their words in five-word windows that occur twice or more.
 
 All of it is built of Spark's own functions, within each row: nothing is shuffled and no Python runs.
@@ -22,7 +24,10 @@ from recollex.llm.common import SPACES, WORD, table
 
 MIN_WORDS, REPEAT_PERCENT, WINDOW = 10, 20, 5
 KEEP_PERCENT, SYMBOL_PERCENT = 50, 10
-#: Phrases of lines that carry no text of their own; then the symbols that are counted.
+BOILERPLATE_WORDS = 30
+#: A sentence ends behind one of these marks, if white space follows, which then begins the next one.
+_SENTENCE = r"(?<=[.!?])(?=[\x20\x09-\x0D])"
+#: Phrases of sentences that carry no text of their own; then the symbols that are counted.
 BOILERPLATE = ("all rights reserved", "licensed under", "creative commons", "spdx-license", "copyright (c)", "©", "cookie policy", "privacy policy", "terms of use", "enable javascript", "click here")
 _SYMBOL = "[#*$%&|<>]"
 
@@ -67,15 +72,22 @@ def line_fails(line: Column) -> Column:
     return (100 * symbols >= SYMBOL_PERCENT * seen) | (3 * separators >= n) | ((n <= 3) & ~closed) | shouting | (2 * loud > n) | (3 * stutter >= n)
 
 
-def is_boilerplate(line: Column) -> Column:
+def is_boilerplate(low: Column) -> Column:
+    """Whether a text in lower case holds a phrase."""
     found = F.lit(False)
     for phrase in BOILERPLATE:
-        found = found | line["low"].contains(phrase)
+        found = found | low.contains(phrase)
     return found
 
 
+def without_boilerplate(line: Column) -> Column:
+    """What stays of a line, a struct as in line_fails, without its short sentences that hold a phrase."""
+    own = F.filter(F.split(line["line"], _SENTENCE), lambda s: ~(is_boilerplate(F.lower(s)) & (F.size(_words(s)) <= BOILERPLATE_WORDS)))
+    return F.when(is_boilerplate(line["low"]), F.array_join(own, "")).otherwise(line["line"])
+
+
 def clean(docs: DataFrame) -> DataFrame:
-    """doc_id, text, the base counts, base_failed, kept_words, judged_words, cleaned (the lines that stay) and kept."""
+    """doc_id, text, the base counts, base_failed, kept_words, judged_words (all but boilerplate), cleaned (the text that stays) and kept."""
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(WORD))
     rows = rows.withColumn("read", F.transform(lines, lambda x: F.struct(x.alias("line"), F.lower(x).alias("low"), _words(x).alias("words"))))
@@ -100,19 +112,17 @@ def clean(docs: DataFrame) -> DataFrame:
     )
     rows = _with_repeats(rows)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    judged = F.transform("read", lambda x: F.struct(x["line"].alias("line"), is_boilerplate(x).alias("aside"), line_fails(x).alias("fails"), F.size(x["words"]).alias("n")))
-    rows = rows.withColumn("base_failed", failed).withColumn("judged", judged).drop("read")
+    cut = lambda x: F.struct(without_boilerplate(x).alias("line"), is_boilerplate(x["low"]).alias("cut"), F.size(x["words"]).alias("before"))
+    stays = F.transform(F.transform(F.filter("read", lambda x: ~line_fails(x)), cut), lambda x: x.withField("n", F.when(x["cut"], F.size(_words(x["line"]))).otherwise(x["before"])))
+    rows = rows.withColumn("base_failed", failed).withColumn("stays", stays).drop("read")
 
-    def words_of(which) -> Column:
-        return F.aggregate(F.filter("judged", which), F.lit(0).cast("long"), lambda s, x: s + x["n"])
+    def words(count) -> Column:
+        return F.aggregate("stays", F.lit(0).cast("long"), lambda s, x: s + count(x))
 
-    rows = rows.withColumns({
-        "judged_words": words_of(lambda x: ~x["aside"]),
-        "kept_words": words_of(lambda x: ~x["aside"] & ~x["fails"]),
-        "cleaned": F.array_join(F.transform(F.filter("judged", lambda x: ~x["aside"] & ~x["fails"]), lambda x: x["line"]), "\n"),
-    })
-    enough = 100 * F.col("kept_words") >= KEEP_PERCENT * F.col("judged_words")
-    return rows.withColumn("kept", ~F.col("base_failed") & enough).drop("judged")
+    rows = rows.withColumn("kept_words", words(lambda x: x["n"])).withColumn("judged_words", F.col("n_words") - words(lambda x: x["before"] - x["n"]))
+    rows = rows.withColumn("cleaned", F.array_join(F.transform(F.filter("stays", lambda x: x["n"] > 0), lambda x: x["line"]), "\n"))
+    enough = (100 * F.col("kept_words") >= KEEP_PERCENT * F.col("judged_words")) & (F.col("kept_words") > 0)
+    return rows.withColumn("kept", ~F.col("base_failed") & enough).drop("stays")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,7 +131,11 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sql() -> str:
-    """The same in DuckDB's SQL: words and windows as rows, lines as rows."""
+    """The same in DuckDB's SQL: words and windows as rows, lines as rows.
+
+    As first agreed: it sets whole lines with a phrase aside, so its kept is another where such a line is long or fails
+    another rule, or nothing else is there.
+    """
     word = r"[^\x20\x09-\x0D]"
     aside = " OR ".join(f"contains(lower(line), '{p}')" for p in BOILERPLATE)
     return rf"""

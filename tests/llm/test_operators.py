@@ -306,6 +306,21 @@ def test_quality_keeps_clean_documents(spark):
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
 
 
+def test_quality_boilerplate_excuses_nothing_else(spark):
+    prose, more = (" ".join(f"{w}{i}" for i in range(60)) for w in ("word", "term"))
+    cases = {
+        1: "\n".join(f"For item {i} please read the privacy policy of site {i} now." for i in range(12)),  # nothing stays
+        2: f"{prose} click here {more}.",  # one mention in a long line
+        3: f"{prose}.\nCopyright (c) by its authors, all rights reserved by them.",
+        4: "\n".join(f"MENU {i} | privacy policy | item{i} | more" for i in range(12)),  # junk, however it calls itself
+        5: f"{prose}. All rights reserved. {more}!",
+    }
+    rows = quality.clean(spark.createDataFrame(list(cases.items()), "doc_id long, text string")).collect()
+    got = {r.doc_id: r for r in rows}
+    assert {i: r.kept for i, r in got.items()} == {1: False, 2: True, 3: True, 4: False, 5: True}
+    assert got[1].cleaned == "" and got[2].cleaned == cases[2] and got[3].cleaned == f"{prose}." and got[5].cleaned == f"{prose}. {more}!"
+
+
 # ---- 9 ----
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
