@@ -1,9 +1,12 @@
 """Substring dedup by sliding sentence spans.
 
-A sentence, here, ends at a word that ends in . ! ? , ; or : (a closing quote or bracket may follow), before a line break,
-and at every word whose hash is divisible by CUT, so that text without punctuation is cut as well. Where a text is cut
-depends on the words at that place alone, so a passage that was copied from the middle of a sentence into the middle of
-another is cut alike in both. From every sentence on, the shortest run of RUN sentences or more that
+A sentence, here, ends at a word that ends in . ! ? , ; or : (a closing quote or bracket may follow), before a line break;
+and of every GAP words in a row of which none ends one so, that of least hash does, so that text without punctuation is cut
+as well and no sentence is longer than GAP words. Where a text is cut depends on the GAP - 1 words before and behind alone,
+so a passage that was copied, with its line breaks, from the middle of a sentence into the middle of another is cut alike
+in both but for its ends. Of 51 words, those from the 7th to the 44th surely end sentences alike; the first of them that
+does is the 13th at the latest, a run from there has 31 words at most and ends in time. So every passage of over 50 words
+holds a run in all its copies. From every sentence on, the shortest run of RUN sentences or more that
 holds MIN_WORDS words or more is hashed from its words (A-Z in lower case, white space does not count); the hashes of all documents are counted, and the
 places of those that occur twice or more are joined. Of each repeated span the place of least (doc_id, sentence) is the
 first; every sentence that any other place covers is removed.
@@ -28,13 +31,29 @@ from pyspark.sql import functions as F
 from recollex.llm import kernels
 from recollex.llm.common import bitmap, may_be_in, table, written
 
-RUN, MIN_WORDS, CUT = 3, 25, 8
+RUN, MIN_WORDS, GAP = 3, 25, 7
 _ENDS = np.zeros(256, dtype=bool)
 _ENDS[[ord(c) for c in ".!?,;:"]] = True
 _CLOSES = np.zeros(256, dtype=bool)
 _CLOSES[[ord(c) for c in "\"')]"]] = True
 
 
+def _least(hashes: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """Whether a word has the least hash of GAP words in a row without a stop; words of equal hash all do."""
+    n = len(hashes) - GAP + 1
+    if n < 1:
+        return np.zeros(len(hashes), dtype=bool)
+    least = hashes[:n].copy()
+    for k in range(1, GAP):
+        np.minimum(least, hashes[k : k + n], out=least)
+    before = np.concatenate([[0], np.cumsum(stops)])
+    least[before[GAP:] > before[:n]] = 0
+    most = np.zeros(len(hashes), np.uint64)
+    for k in range(GAP):
+        np.maximum(most[k : k + n], least, out=most[k : k + n])
+    return most == hashes
+
+
 def sentences(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends in bytes, first word of each sentence and the end, first sentence of each text and the end, hashes of words)."""
     starts, ends, first = kernels.word_bounds(raw, off)
@@ -49,7 +68,7 @@ def sentences(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     stops[:-1] |= lines[starts[1:]] > lines[ends[:-1]]
     borders = first[1:]
     stops[borders[borders > 0] - 1] = True
-    stops |= hashes % np.uint64(CUT) == 0
+    stops |= _least(hashes, stops)
     words = np.concatenate([[0], np.flatnonzero(stops[:-1]) + 1])
     bounds = np.concatenate([words, [n]])
     return starts[words], ends[bounds[1:] - 1], bounds, np.searchsorted(words, first), hashes
@@ -155,15 +174,21 @@ def brute_force(rows: list[tuple[int | None, str | None]]) -> dict[int, set[int]
     for doc, text in rows:
         if doc is None or text is None:
             continue
-        cut: list[list[str]] = []
+        words, stops, hashes = [], [], []
         for line in text.split("\n"):
-            open_ = False
             for word in re.findall(r"[^\x20\x09-\x0D]+", line):
-                if not open_:
-                    cut.append([])
-                cut[-1].append(re.sub("[A-Z]", lambda m: m[0].lower(), word))
+                words.append(re.sub("[A-Z]", lambda m: m[0].lower(), word))
+                stops.append(bool(re.search(r"[.!?,;:][\"')\]]?$", word)))
                 raw, off = kernels.text_bytes(pa.array([word]))
-                open_ = not re.search(r"[.!?,;:][\"')\]]?$", word) and kernels.span_hashes(raw, off[:1], off[1:], lower=True)[0] % CUT != 0
+                hashes.append(int(kernels.span_hashes(raw, off[:1], off[1:], lower=True)[0]))
+            if stops:
+                stops[-1] = True
+        ends = {i for i, stop in enumerate(stops) if stop}
+        for i in range(len(words) - GAP + 1):
+            if not any(stops[i : i + GAP]):
+                ends.update(j for j in range(i, i + GAP) if hashes[j] == min(hashes[i : i + GAP]))
+        at = [0, *(i + 1 for i in sorted(ends))]
+        cut = [words[i:j] for i, j in zip(at, at[1:], strict=False)]
         for i in range(len(cut) - RUN + 1):
             until = next((j for j in range(i + RUN, len(cut) + 1) if sum(map(len, cut[i:j])) >= MIN_WORDS), 0)
             if until:

@@ -373,6 +373,25 @@ def test_spans_are_brute_force(spark, texts):
     assert got[9003].cleaned == "Clean text. Nothing shared. At all." and got[None].cleaned == passage and got[9004].cleaned is None
 
 
+def test_spans_find_every_passage_of_51_words(spark):
+    """Passages from mid-text to mid-text, without or with few marks; by the words alone each is a repeat of 51 words."""
+    rng = random.Random(11)
+    word = lambda mark: f"w{rng.randrange(10**7)}" + ("," if mark and rng.random() < 1 / mark else "")
+    rows, passages = [], {}
+    for k in range(600):
+        mark = (0, 15, 8)[k % 3]
+        passage = " ".join(word(mark) for _ in range(51))
+        for i in (2 * k, 2 * k + 1):
+            before, behind = (" ".join(word(mark) for _ in range(rng.randint(1, 40))) for _ in range(2))
+            rows.append((i, f"{before} {passage} {behind}"))
+            passages[i] = (len(before) + 1, len(before) + 1 + len(passage))
+    got = {r.doc_id: r.removed for r in spans.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (a, b) in passages.items():
+        ranges = [tuple(map(int, x.split(":"))) for x in got[i].split(",") if x]
+        assert bool(ranges) == bool(i % 2), i
+        assert all(a <= x and y <= b for x, y in ranges) or i % 2 == 0
+
+
 def test_spans_edge_cases(spark, odd):
     assert spans.dedup(odd).count() == len(ODD) and spans.dedup(empty(spark)).count() == 0
     twice = spark.createDataFrame([(1, "A b c d e f g h i. J k l m n o p q r s. T u v w x y z a b c.")] * 2, "doc_id long, text string")
