@@ -29,12 +29,12 @@ GOLDEN, RING = 1327217885, 1 << 31
 RUN, BINS = 1 << 16, 1 << 12
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, own (the source, so written that null comes last), size and order (the place in the shuffle)."""
+def sized(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id, source, own (the source, so written that null comes last), size, order (the place in the shuffle) and `more` columns."""
     size = F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(WORD)).cast("long")
     doc_id, source = F.col("doc_id").cast("long"), F.col("source").cast("string")
     own = F.when(source.isNull(), "1").otherwise(F.concat(F.lit("0"), source))
-    return docs.select(doc_id.alias("doc_id"), source.alias("source"), own.alias("own"), size.alias("size"), F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")).alias("order"))
+    return docs.select(doc_id.alias("doc_id"), source.alias("source"), own.alias("own"), size.alias("size"), F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")).alias("order"), *more)
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -56,12 +56,12 @@ def targets(sizes: DataFrame) -> DataFrame:
     return of.select("own", "source_size", "weight", target.alias("target"))
 
 
-def offsets(sizes: DataFrame) -> DataFrame:
+def offsets(sizes: DataFrame, *ties: str) -> DataFrame:
     """sizes with part and row, which name a row, and at, the words of its source before it."""
     sizes = sizes.withColumn("part", F.substring("order", 1, 3))
     parts = sizes.groupBy("own", "part").agg(F.sum("size").alias("words"))
     parts = parts.select("own", "part", (F.sum("words").over(W.partitionBy("own").orderBy("part")) - F.col("words")).alias("base"))
-    inside = W.partitionBy("own", "part").orderBy("order", "doc_id", "size")
+    inside = W.partitionBy("own", "part").orderBy("order", "doc_id", "size", *ties)
     rows = sizes.withColumn("row", F.row_number().over(inside)).withColumn("at", F.sum("size").over(inside.rowsBetween(W.unboundedPreceding, 0)) - F.col("size"))
     return rows.join(parts, ["own", "part"]).withColumn("at", F.col("at") + F.col("base")).drop("base")
 
@@ -114,20 +114,28 @@ def mix(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     return rows.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "at")
 
 
-def copies(docs: DataFrame) -> DataFrame:
-    """docs as the mix takes them: each as often as a pass takes the middle of its words, in whole texts.
+def copies(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+    """docs as the mix takes them, in whole texts: each as often as slots take the middle one of its words.
 
-    Where rows share a doc_id, all come as often as the one that is taken most.
+    A row is named by two hashes of all its columns, so null and repeated ids don't matter; equal rows share their copies.
+    A row without words has no slot: it comes with what a pass takes up to its place.
     """
-    mixed = mix(docs)
-    total = F.floor("target").cast("long")
-    middle = F.col("at") * 2 + F.col("size")
-    times = (middle <= 2 * F.least(total, F.col("source_size"))).cast("int") + (middle < 2 * (total - F.col("source_size"))).cast("int")
-    times = mixed.groupBy("doc_id").agg(F.max(times).alias("times")).where("times > 0")
     columns = docs.columns
-    own = docs.select("*", F.col("doc_id").cast("long").alias("mixed_id"))
-    found = own.join(times.select(F.col("doc_id").alias("mixed_id"), F.col("times").alias("mixed_times")), "mixed_id")
-    return found.withColumn("mixed_times", F.explode(F.sequence(F.lit(1), F.col("mixed_times")))).select(*columns)
+    values = [v for c in columns for v in (F.col(c), F.col(c).isNull())]
+    key = ["mixed_one", "mixed_two"]
+    own = docs.select("*", *(F.xxhash64(F.lit(name), *values).alias(name) for name in key))
+    sizes = written(sized(own, *key), "sizes")
+    of = written(targets(sizes), "targets")
+    rows = written(offsets(sizes, *key), "offsets")
+    ends = schedule(of, block).groupBy("own", "block").agg(F.collect_list(F.col("block") * block + F.col("words")).alias("ends"))
+    rows = rows.withColumn("middle", F.col("at") + F.floor(F.col("size") / 2)).withColumn("block", F.when(F.col("size") > 0, F.floor(F.col("middle") / block)))
+    rows = rows.join(ends, ["own", "block"], "left").join(plan(of, block).select("own", "first", "second"), "own")
+    slots = F.coalesce(F.size(F.filter("ends", lambda e: e > F.col("middle"))), F.lit(0))
+    none = (F.col("at") <= F.col("first")).cast("int") + (F.col("at") < F.col("second")).cast("int")
+    times = rows.groupBy(*key).agg(F.sum(F.when(F.col("size") > 0, slots).otherwise(none)).alias("mixed_times"), F.count(F.lit(1)).alias("mixed_rows")).where("mixed_times > 0")
+    found = own.join(times, key).withColumn("mixed_place", F.row_number().over(W.partitionBy(*key).orderBy(*key)))
+    share = F.floor(F.col("mixed_times") / F.col("mixed_rows")) + (F.col("mixed_place") <= F.col("mixed_times") % F.col("mixed_rows")).cast("long")
+    return found.withColumn("mixed_times", F.explode(F.array_repeat(F.lit(1), share.cast("int")))).select(*columns)
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

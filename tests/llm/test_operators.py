@@ -118,6 +118,23 @@ def test_mixing_copies(spark, documents):
     assert {n for _, n in times} <= {1, 2} and mixing.copies(documents).columns == documents.columns
 
 
+def test_mixing_copies_follow_the_slots(spark):
+    rng = random.Random(8)
+    rows = [(i if i % 3 else None, " ".join(f"w{i}x{k}" for k in range(rng.randint(0, 300))), None, "ab"[i % 5 == 0], i) for i in range(120)]
+    rows += [rows[7]] * 3 + [(None, None, None, "a", None)] * 2
+    docs = spark.createDataFrame(rows, DOCS)
+    got = Counter(map(tuple, mixing.copies(docs).collect()))
+    slots = mixing.schedule(mixing.targets(mixing.sized(docs))).collect()
+    for own in "ab":
+        taken = {w for r, n in got.items() if r[3] == own and r[1] for w in [r[1].split()[0]] for _ in range(n)}
+        words = sum(n * len((r[1] or "").split()) for r, n in got.items() if r[3] == own)
+        assert taken and abs(words - sum(s.words for s in slots if s.own == "0" + own)) <= 600
+    size = sum(len((r[1] or "").split()) for r in rows if r[3] == "a")
+    if sum(s.words for s in slots if s.own == "0a") >= size:  # a whole pass: every row comes, whatever its id
+        assert all(got[r] >= n for r, n in Counter(r for r in rows if r[3] == "a" and r[1]).items())
+    assert any(r[0] is None and r[1] for r in got)
+
+
 # ---- 3 ----
 def test_urls(spark):
     cases = [(1, None, "", "", None, "allow"), (2, "nothing", "", "", None, "allow"), (3, "http://A.NET/x", "a.net", "/x", "net/", "block"), (4, "http://net", "net", "", None, "allow"), (5, "s://www.example.net/en/1?q#f", "www.example.net", "/en/1", "example.net/en/", "allow"),
