@@ -9,6 +9,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 from recollex.llm import bpe, mixing, neardup, pii
 from recollex.llm import toxicity as toxic
@@ -24,10 +26,11 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that of least doc_id; of rows that share it, one."""
+    """One document of each group of near-duplicates: that of least doc_id; of rows that share it, the one of least hash."""
     found = neardup.near_duplicates(docs)
     kept = found.where("kept and doc_id is not null").select("doc_id").distinct()
-    rows = docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    place = F.row_number().over(W.partitionBy("doc_id").orderBy(F.xxhash64(*(v for c in COLUMNS for v in (F.col(c), F.col(c).isNull())))))
+    rows = docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").withColumn("place", place).where("place = 1").select(*COLUMNS)
     return rows.unionByName(docs.select(*COLUMNS).where("doc_id is null"))
 
 

@@ -31,6 +31,14 @@ def test_stages(spark):
     assert out.count() == mixed.count() and all(r.decoded == t.decode(r.ids) for r in out.limit(50).collect())
 
 
+def test_near_duplicates_keep_one_row_of_a_doc_id(spark):
+    text = " ".join(f"w{i}" for i in range(50))
+    rows = [(1, text, "en", "a", 5)] * 4 + [(2, text, "en", "b", 5)] * 2 + [(3, "quite another text", None, None, None)] * 3 + [(4, "one", "en", "a", 3), (4, "two", "en", "a", 3)] + [(None, text, None, None, None)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = [r.doc_id for r in P.near_duplicates(spark, docs, D).collect()]
+    assert sorted(got, key=str) == [1, 3, 4, None, None]
+
+
 def test_run(spark):
     rows = P.run(spark, "/root/testdata/sf0.001")
     assert rows.count() > 0 and rows.columns == ["doc_id", "n_tokens", "ids", "decoded"]
