@@ -109,3 +109,12 @@ def test_sources(spark, tmp_path):
     assert [r.value for r in logs.read_facts(spark, str(facts)).collect()] == [1.5]
     turns = spark.createDataFrame([("s", 0, "u", "hi")] * 2, "session_id string, turn_idx int, speaker string, content string")
     assert logs.archived(turns).count() == 1
+
+
+def test_session_seeds_pair_all_of_a_large_session(spark):
+    rows = [("large", i) for i in range(450)] + [("small", i) for i in range(448, 452)] + [(None, 1), (None, 2)]
+    none = spark.createDataFrame([(3, 4, 0.5)], "a long, b long, weight double")
+    got = graph.seeded_sessions(spark.createDataFrame(rows, "session_id string, belief_id long"), none, 0.01).collect()
+    want = {(a, b) for b in range(450) for a in range(b)} | {(a, b) for b in range(448, 452) for a in range(448, b)}
+    assert len(got) == len(want) and {(r.a, r.b) for r in got} == want
+    assert {(r.a, r.b) for r in got if r.weight != 0.01} == {(3, 4)}
