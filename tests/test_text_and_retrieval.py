@@ -118,3 +118,12 @@ def test_session_seeds_pair_all_of_a_large_session(spark):
     want = {(a, b) for b in range(450) for a in range(b)} | {(a, b) for b in range(448, 452) for a in range(448, b)}
     assert len(got) == len(want) and {(r.a, r.b) for r in got} == want
     assert {(r.a, r.b) for r in got if r.weight != 0.01} == {(3, 4)}
+
+
+def test_learned_relation_predicts_every_adjacent_pair(spark):
+    from recollex.plans import catalog
+
+    d = "/root/testdata/sf0.001"
+    ids = {r.vec_id for r in spark.read.parquet(f"{d}/embeddings.parquet").collect()}
+    got = [(r.a, r.next) for r in catalog.QUERIES["q_learned_relation"](spark, d).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(i, i + 1) for i in ids if i + 1 in ids}
