@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import contextlib
+import re
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,11 +25,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the cluster's checkpoint folder.
 
-    Only where the session names none (tests, local mode) one is made on this machine.
+    A session on this machine alone (tests, local mode) that names none gets one here; on a cluster that is an error, as
+    executors would not see each other's files.
     """
     sc = spark.sparkContext
     found = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("spark.checkpoint.dir is not set: intermediate tables need a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="recollex-checkpoints-")
         sc.setCheckpointDir(found)
     return found.rstrip("/")
@@ -54,7 +59,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     with _small_batches(spark):
         df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    _paths[found] = path
+    return found
+
+
+#: Where written() has put the tables that are still referred to.
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def delete(*tables: DataFrame) -> None:
+    """Delete tables of written() that nothing which is still to be computed reads; what a result reads stays for the caller."""
+    for df in tables:
+        if path := _paths.pop(df, None):
+            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
 
 
 def lower_ascii(c: Column) -> Column:
@@ -62,8 +82,10 @@ def lower_ascii(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-#: Bits of the filter that spares the shuffle of rows that can't match: so many a value, and 8 MB in all at most.
-FILTER_BITS, MOST_FILTER_BITS = 16, 1 << 26
+#: Bits of the filter that spares the shuffle of rows that can't match: so many a value, and 32 MB in all at most, which is what
+#: a broadcast may take. That is 33 million values; beyond them more and more rows pass, in the end all, and the joins behind
+#: the filter shuffle these. Results are the same.
+FILTER_BITS, MOST_FILTER_BITS = 8, 1 << 28
 
 
 def _place(c: Column, bits: int) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recollex.llm.common import written
+from recollex.llm.common import delete, written
 
 
 def _towards(edges: DataFrame, larger_only: bool) -> DataFrame:
@@ -31,7 +31,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where(F.col("u") > F.col("v")).distinct()
     edges, seen = written(edges, "links"), None
     for _ in range(most_rounds):
-        edges = written(_towards(_towards(edges, True), False), "links")
+        before, edges = edges, written(_towards(_towards(edges, True), False), "links")
+        delete(before)
         now = edges.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))")).first()
         if now == seen:
             break
@@ -39,4 +40,6 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"the components did not settle in {most_rounds} rounds")
     own = edges.select(F.col("v").alias("u"), "v").distinct()
-    return edges.unionByName(own).select(F.col("u").alias("node"), F.col("v").alias("component"))
+    found = written(edges.unionByName(own).select(F.col("u").alias("node"), F.col("v").alias("component")), "components")
+    delete(edges)
+    return found

@@ -154,12 +154,17 @@ def sorted_runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Tab
         yield pa.Table.from_batches(held)
 
 
+def release() -> None:
+    """Memory that this process has freed goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def tidy(out: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """out, and at its end the memory that the task has freed goes back to the system: a worker waits for its next task."""
+    """out, and at its end release(): a worker waits for its next task."""
     try:
         yield from out
     finally:
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-        if trim:
-            trim(0)
+        release()

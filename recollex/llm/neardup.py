@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recollex.llm import kernels
-from recollex.llm.common import bitmap, may_be_in, table, written
+from recollex.llm.common import bitmap, delete, may_be_in, table, written
 from recollex.llm.components import components
 
 SHINGLE_WORDS = 5
@@ -131,24 +131,31 @@ def _ahead(x: np.ndarray) -> np.ndarray:
     return -np.log1p(-x * (B - 1) / B) / np.log(B)
 
 
-def estimate(n1: np.ndarray, n2: np.ndarray, ahead: np.ndarray, behind: np.ndarray) -> np.ndarray:
-    """The Jaccard similarity of greatest likelihood, given the sizes and how many registers are greater and smaller."""
+def _log_likelihood(n1: np.ndarray, n2: np.ndarray, ahead: np.ndarray, behind: np.ndarray, j: np.ndarray | float) -> np.ndarray:
+    """Of a similarity j, given the sizes and how many registers of the first set are greater and smaller."""
     u, v = n1 / (n1 + n2), n2 / (n1 + n2)
-    equal = REGISTERS - ahead - behind
-    lo, hi = np.zeros(len(u)), np.minimum(u, v) / np.maximum(u, v)
-    golden = (5**0.5 - 1) / 2
+    p, q = _ahead(np.maximum(u - v * j, 1e-12)), _ahead(np.maximum(v - u * j, 1e-12))
+    return ahead * np.log(np.maximum(p, 1e-12)) + behind * np.log(np.maximum(q, 1e-12)) + (REGISTERS - ahead - behind) * np.log(np.maximum(1 - p - q, 1e-12))
 
-    def likelihood(j: np.ndarray) -> np.ndarray:
-        p, q = _ahead(np.maximum(u - v * j, 1e-12)), _ahead(np.maximum(v - u * j, 1e-12))
-        return ahead * np.log(np.maximum(p, 1e-12)) + behind * np.log(np.maximum(q, 1e-12)) + equal * np.log(np.maximum(1 - p - q, 1e-12))
 
+def estimate(n1: np.ndarray, n2: np.ndarray, ahead: np.ndarray, behind: np.ndarray) -> np.ndarray:
+    """The Jaccard similarity of greatest likelihood, which has a single peak: by golden sections."""
+    lo, hi = np.zeros(len(n1)), np.minimum(n1, n2) / np.maximum(n1, n2)
+    golden = (5**0.5 - 1) / 2
     for _ in range(24):
         a, b = hi - golden * (hi - lo), lo + golden * (hi - lo)
-        right = likelihood(b) > likelihood(a)
+        right = _log_likelihood(n1, n2, ahead, behind, b) > _log_likelihood(n1, n2, ahead, behind, a)
         lo, hi = np.where(right, a, lo), np.where(right, hi, b)
     return (lo + hi) / 2
 
 
+def may_reach(n1: np.ndarray, n2: np.ndarray, ahead: np.ndarray, behind: np.ndarray, percent: int) -> np.ndarray:
+    """Whether the similarity of greatest likelihood is percent less MARGIN or more: the likelihood still rises there."""
+    j, step = percent / 100 - MARGIN, 1e-4
+    rises = _log_likelihood(n1, n2, ahead, behind, j + step) > _log_likelihood(n1, n2, ahead, behind, j - step)
+    return rises & (np.minimum(n1, n2) >= j * np.maximum(n1, n2))
+
+
 def _estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
@@ -181,30 +188,33 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _candidates(run: pa.Table, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Documents of one bucket's pair of blocks (bucket, i, j, block, doc, component, n_shingles, registers): the ids,
-    and the places of pairs of different components whose first common band is this one and which may be similar enough."""
-    doc, comp, block, n = (run.column(c).to_numpy() for c in ("doc", "component", "block", "n_shingles"))
-    bucket, i, j = (run.column(c)[0].as_py() for c in ("bucket", "i", "j"))
+    """Documents of one run (bucket, i, j, side, doc, component, n_shingles, registers): the ids, and the places of pairs of
+    different components whose first common band is this one and which may be similar enough.
+
+    Sides are those of _dealt: members of the largest component (0), and others of one block (1) or of a second one (2).
+    """
+    side, doc, comp, n = (run.column(c).to_numpy() for c in ("side", "doc", "component", "n_shingles"))
+    bucket, i = (run.column(c)[0].as_py() for c in ("bucket", "i"))
     r = np.frombuffer(b"".join(run.column("registers").to_pylist()), np.uint8).reshape(len(doc), REGISTERS)
-    codes = _codes(r)
     band = bucket >> (8 * ROWS)
+    codes = _codes(r)[:, :band]
     firsts, seconds = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     open_: list[tuple[np.ndarray, ...]] = []
 
     def judge() -> None:
         if open_:
             first, second, ahead, behind = (np.concatenate(x) for x in zip(*open_, strict=True))
-            likely = estimate(n[first].astype(float), n[second].astype(float), ahead, behind) >= percent / 100 - MARGIN
+            likely = may_reach(n[first].astype(float), n[second].astype(float), ahead, behind, percent)
             firsts.append(first[likely])
             seconds.append(second[likely])
             open_.clear()
 
-    pairs = 0
-    for a in range(len(doc)):
-        later = np.arange(a + 1, len(doc)) if i == j else np.flatnonzero((block == j) & (block[a] == i))
+    pairs, ones, against = 0, np.flatnonzero(side == 1), np.flatnonzero(side != 1)
+    for place, a in enumerate(ones):
+        later = np.concatenate([against, ones[place + 1 :]]) if i == 0 else against
         later = later[(comp[later] != comp[a]) & (100 * np.minimum(n[later], n[a]) >= percent * np.maximum(n[later], n[a]))]
         if band:
-            later = later[(codes[later, :band] != codes[a, :band]).all(1)]
+            later = later[(codes[later] != codes[a]).all(1)]
         if len(later):
             open_.append((np.full(len(later), a), later, (r[a] > r[later]).sum(1), (r[a] < r[later]).sum(1)))
             pairs += len(later)
@@ -255,37 +265,67 @@ def _links_of_run(percent: int, batches: Iterator[pa.RecordBatch]) -> Iterator[p
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
 
-#: Documents of one bucket that are compared as one block, on average.
-BLOCK = 512
+#: Members of a bucket that are dealt as one block, on average, and the shingles of one block.
+BLOCK, BLOCK_SHINGLES = 2048, 4_000_000
+
+
+def _dealt(named: DataFrame) -> DataFrame:
+    """The members (bucket, doc, component, n_shingles) of buckets that hold several components, dealt into runs (bucket, i, j).
+
+    Members of a bucket's largest component need not meet each other. They are blocks i, the others are blocks j, and a
+    run holds one of each: its side 1 is held against its side 0 and, if i = 0, against itself. Runs of i < 0 hold two
+    different blocks of the others, sides 1 and 2. A bucket of up to BLOCK members on either side is one run, to which
+    each member goes once; beyond that a member goes to as many runs as the other side has blocks.
+    """
+    per = named.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s"))
+    of = per.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.max(F.struct("n", "s", "component")).alias("top")).where(F.col("n") > F.col("top.n"))
+
+    def blocks(n: Column, s: Column) -> Column:
+        return F.greatest(F.ceil(n / BLOCK), F.ceil(s / BLOCK_SHINGLES)).cast("long")
+
+    rest = blocks(F.col("n") - F.col("top.n"), F.col("s") - F.col("top.s"))
+    of = of.select("bucket", F.col("top.component").alias("most"), blocks(F.col("top.n"), F.col("top.s")).alias("bi"), rest.alias("bj"))
+    rows = named.join(of, "bucket")
+    own = lambda n: F.pmod(F.xxhash64("doc"), n)
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    run = lambda i, j, side: F.struct(i.cast("long").alias("i"), j.cast("long").alias("j"), F.lit(side).alias("side"))
+    one = F.transform(upto(F.col("bj")), lambda j: run(own(F.col("bi")), j, 0))
+    two = F.concat(
+        F.transform(upto(F.col("bi")), lambda i: run(i, own(F.col("bj")), 1)),
+        F.transform(
+            F.filter(upto(F.col("bj")), lambda j: j != own(F.col("bj"))),
+            lambda j: F.when(j > own(F.col("bj")), run(-1 - own(F.col("bj")), j, 1)).otherwise(run(-1 - j, own(F.col("bj")), 2)),
+        ),
+    )
+    rows = rows.withColumn("run", F.explode(F.when(F.col("component") == F.col("most"), one).otherwise(two)))
+    return rows.select("bucket", "run.i", "run.j", "run.side", "doc", "component", "n_shingles")
 
 
 def _remaining_links(docs: DataFrame, members: DataFrame, comps: DataFrame, held: DataFrame, sets: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (u, v) between components that some bucket still holds apart: its members are compared block by block.
+    """Links (u, v) between components that some bucket still holds apart: see _dealt.
 
-    Blocks of a bucket meet as pairs of blocks, first by registers alone; the full sets are brought only for documents
-    that may have a partner, and only confirmed links leave the tasks.
+    Members meet first by registers alone; the full sets are brought only for documents that may have a partner, and only
+    confirmed links leave the tasks.
     """
-    named = members.join(comps.select(F.col("node").alias("doc"), "component"), "doc", "left").select("bucket", "doc", F.coalesce("component", "doc").alias("component"))
-    split = named.groupBy("bucket").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count(F.lit(1)).alias("members")).where("c1 < c2")
-    split = split.select("bucket", F.ceil(F.col("members") / BLOCK).alias("blocks"))
-    block = F.pmod(F.xxhash64("doc"), F.col("blocks"))
-    apart = named.join(split, "bucket").withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    apart = apart.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).select("bucket", "i", "j", "block", "doc", "component")
-    apart = written(apart, "apart")
-    registers = held.select(F.col("doc_id").alias("doc"), "n_shingles", "registers")
-
-    def dealt(rows: DataFrame, *more: str) -> DataFrame:
-        rows = rows.select("bucket", "i", "j", "block", "doc", "component", "n_shingles", "registers", *more)
-        return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-
-    likely = dealt(apart.join(registers, "doc")).mapInArrow(lambda it: kernels.tidy(_with_candidates(percent, it)), "bucket long, i long, j long, doc long")
+    registers = held.select(F.col("doc_id").alias("doc"), "registers")
+    named = members.join(comps.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    apart = written(_dealt(named.join(held.select(F.col("doc_id").alias("doc"), "n_shingles"), "doc")), "apart")
+
+    def together(rows: DataFrame, *more: str) -> DataFrame:
+        rows = rows.select("bucket", "i", "j", "side", "doc", "component", "n_shingles", "registers", *more)
+        return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "doc")
+
+    likely = together(apart.join(registers, "doc")).mapInArrow(lambda it: kernels.tidy(_with_candidates(percent, it)), "bucket long, i long, j long, doc long")
     likely = written(likely, "likely")
     lacking = likely.select("doc").distinct().join(sets, "doc", "left_anti")
-    full = sets.unionByName(_full_sets(docs, lacking, k)).join(likely.select("doc").distinct(), "doc", "left_semi")
+    more = _full_sets(docs, lacking, k)
+    full = sets.unionByName(more).join(likely.select("doc").distinct(), "doc", "left_semi")
     rows = apart.join(likely, ["bucket", "i", "j", "doc"], "left_semi").join(registers, "doc")
     keys = ["doc", "n_shingles"]
     rows = rows.join(full.withColumn("n_shingles", F.size("shingles").cast("long")), keys)
-    return dealt(rows, "shingles").mapInArrow(lambda it: kernels.tidy(_links_of_run(percent, it)), "u long, v long")
+    found = written(together(rows, "shingles").mapInArrow(lambda it: kernels.tidy(_links_of_run(percent, it)), "u long, v long"), "edges")
+    delete(apart, likely, more)
+    return found
 
 
 def _full_sets(docs: DataFrame, named: DataFrame, k: int) -> DataFrame:
@@ -293,7 +333,9 @@ def _full_sets(docs: DataFrame, named: DataFrame, k: int) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
     named = written(named, "named")
     texts = may_be_in(texts, "doc", bitmap(named, "doc")).join(named.distinct(), "doc").select("doc", "text")
-    return written(texts.mapInArrow(lambda it: kernels.tidy(_sets(k, it)), "doc long, shingles array<bigint>"), "sets")
+    found = written(texts.mapInArrow(lambda it: kernels.tidy(_sets(k, it)), "doc long, shingles array<bigint>"), "sets")
+    delete(named)
+    return found
 
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
@@ -313,9 +355,11 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, percent: int = PERC
     sets = _full_sets(docs, star.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), k)
     edges = written(_confirmed(star, sets, percent), "edges")
     comps = components(edges)
-    rest = written(_remaining_links(docs, members, comps, held, sets, k, percent), "edges")
+    rest = _remaining_links(docs, members, comps, held, sets, k, percent)
     if not rest.isEmpty():
+        delete(comps)
         comps = components(edges.unionByName(rest))
+    delete(led, star, sets, edges, rest)
 
     copies = groups.where("copies > 1").select("key1", "key2", F.col("doc_id").alias("rep"))
     rows = all_sets.select("doc_id", "n_shingles", "key1", "key2").join(copies, ["key1", "key2"], "left")
