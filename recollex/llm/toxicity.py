@@ -89,8 +89,8 @@ class Net:
     def embed(self, rows: np.ndarray) -> np.ndarray:
         return self.word1[rows[:, 0]] + self.word2[rows[:, 1]] + self.prefix[rows[:, 2]]
 
-    def responses(self, x: np.ndarray) -> np.ndarray:
-        """Every filter's value where its window begins; x ends in windows' worth of empty words."""
+    def responses(self, x: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Every filter's value where its window begins, which is at the words' places only; each text in x ends in a window's worth of empty words."""
         n = len(x) - max(WIDTHS) + 1
         out = np.empty((n, FILTERS * len(WIDTHS)), np.float32)
         for i, (k, w) in enumerate(zip(WIDTHS, self.filters, strict=True)):
@@ -98,17 +98,24 @@ class Net:
             for j in range(1, k):
                 own += x[j : n + j] @ w[j]
             out[:, i * FILTERS : (i + 1) * FILTERS] = own
+        behind = np.ones(n, bool)
+        behind[place] = False
+        out[behind] = -np.inf
         return out
 
     def pooled(self, rows: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """The greatest value of each filter over each text, with an empty word's worth of margin after each text."""
+        """The greatest value of each filter over each text; that of a text without words is its window of empty words."""
         margin = max(WIDTHS) - 1
         texts = len(first) - 1
         x = np.zeros((len(rows) + margin * texts + margin, WIDTH), np.float32)
         place = np.arange(len(rows)) + margin * np.repeat(np.arange(texts), np.diff(first))
         x[place] = self.embed(rows)
         begin = first[:-1] + margin * np.arange(texts)
-        return np.maximum(np.maximum.reduceat(self.responses(x), begin, axis=0) + self.shift, 0) if texts else np.zeros((0, FILTERS * len(WIDTHS)), np.float32)
+        if not texts:
+            return np.zeros((0, FILTERS * len(WIDTHS)), np.float32)
+        values = self.responses(x, place)
+        values[begin[np.diff(first) == 0]] = 0
+        return np.maximum(np.maximum.reduceat(values, begin, axis=0) + self.shift, 0)
 
     def logits(self, rows: np.ndarray, first: np.ndarray, most: int = 1 << 17) -> np.ndarray:
         """Texts are taken some at a time; one of more than `most` words is pooled over overlapping slices."""
@@ -128,14 +135,15 @@ class Net:
         rows, first, language = features(raw, off)
         return 1 / (1 + np.exp(-np.clip(self.logits(rows, first) - self.thresholds[language], -30, 30).astype(np.float64)))
 
-    def begin(self, rows: np.ndarray, first: np.ndarray, y: np.ndarray) -> None:
+    def begin(self, texts: list[np.ndarray], y: np.ndarray) -> None:
         """The first two components of every row: how far its texts' labels depart from the mean, as a signed root."""
-        text = np.repeat(np.arange(len(first) - 1), np.diff(first))
         rng = np.random.default_rng(5)
         for i, (held, size) in enumerate(((self.word1, WORD_ROWS), (self.word2, WORD_ROWS), (self.prefix, PREFIX_ROWS))):
-            pairs = np.unique(text.astype(np.int64) * size + rows[:, i])
-            t, r = pairs // size, pairs % size
-            seen, toxic = np.bincount(r, minlength=size), np.bincount(r, weights=y[t], minlength=size)
+            seen, toxic = np.zeros(size), np.zeros(size)
+            for rows, label in zip(texts, y, strict=True):
+                own = np.unique(rows[:, i])
+                seen[own] += 1
+                toxic[own] += label
             away = toxic - seen * y.mean()
             held[:, int(i == 2)] = np.sign(away) * np.log1p(np.abs(away) / np.sqrt(seen * y.mean() + 1)) * (1 if i == 2 else 0.5)
             held[:, 2:] = rng.normal(0, 0.1, (size, WIDTH - 2)) * (seen > 1)[:, None]
@@ -144,10 +152,10 @@ class Net:
             w[0, 1, FILTERS // 2 :] += 1
         self.out += 0.3
 
-    def fit(self, rows: np.ndarray, first: np.ndarray, y: np.ndarray) -> None:
+    def fit(self, texts: list[np.ndarray], y: np.ndarray) -> None:
         """Adagrad on the log loss; only the windows that a filter chose pass a gradient on."""
         rng = np.random.default_rng(3)
-        margin, texts = max(WIDTHS) - 1, len(y)
+        margin = max(WIDTHS) - 1
         tables = (self.word1, self.word2, self.prefix)
         moments = [np.full(t.shape, 0.01, np.float32) for t in tables]
         dense = [*self.filters, self.shift, self.out]
@@ -155,18 +163,18 @@ class Net:
         bias_square = 0.01
         pos = max(1.0, min(4.0, (1 - y.mean()) / y.mean() / 3))  # the rarer class weighs more
         for _ in range(EPOCHS):
-            order = rng.permutation(texts)
-            for b in range(0, texts, BATCH):
+            order = rng.permutation(len(y))
+            for b in range(0, len(y), BATCH):
                 chosen = order[b : b + BATCH]
-                sizes = first[chosen + 1] - first[chosen]
-                own = np.concatenate([rows[first[c] : first[c + 1]] for c in chosen])
+                own = np.concatenate([texts[c] for c in chosen])
+                sizes = np.array([len(texts[c]) for c in chosen])
                 begin = np.concatenate([[0], np.cumsum(sizes + margin)])
                 place = np.arange(len(own)) + margin * np.repeat(np.arange(len(chosen)), sizes)
                 x = np.zeros((begin[-1] + margin, WIDTH), np.float32)
                 x[place] = self.embed(own)
                 word = np.full(len(x), -1)
                 word[place] = np.arange(len(own))
-                values = self.responses(x)
+                values = self.responses(x, place)
                 at = np.stack([values[lo:hi].argmax(0) + lo for lo, hi in zip(begin[:-1], begin[1:], strict=True)])
                 best = values[at, np.arange(values.shape[1])] + self.shift
                 hidden = np.maximum(best, 0)
@@ -210,29 +218,34 @@ def threshold(logits: np.ndarray, y: np.ndarray) -> float:
     return float((z[i] + z[i + 1]) / 2)
 
 
-def train(texts: pa.Array, y: np.ndarray) -> Net | None:
-    """A net fitted to the texts, with the thresholds of the languages; None if the labels aren't of both classes."""
+def train(texts: pa.Array, y: np.ndarray, learn: bool = True) -> Net | None:
+    """A net fitted to the texts, with the thresholds of the languages; None if the labels aren't of both classes.
+
+    Without `learn` the net stays as begin() leaves it, which shows what the training adds.
+    """
     y = y.astype(np.float32)
     if not 0 < y.sum() < len(y):
         return None
-    parts = [features(raw, off) for _, _, raw, off in kernels.slices(texts)]
-    rows = np.concatenate([r for r, _, _ in parts])
-    first = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(f) for _, f, _ in parts]))])
-    language = np.concatenate([x for _, _, x in parts])
+    rows: list[np.ndarray] = []  # of each text; nothing is copied from here on but batches
+    languages = []
+    for _, _, raw, off in kernels.slices(texts):
+        own, first, language_ = features(raw, off)
+        rows += np.split(own, first[1:-1])
+        languages.append(language_)
+    language = np.concatenate(languages)
     fold = np.arange(len(y)) % FOLDS == 0
     if not 0 < y[~fold].sum() < (~fold).sum() or not 0 < y[fold].sum() < fold.sum():
         fold[:] = False
-
-    def of(chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        sizes = np.diff(first)[chosen]
-        return np.concatenate([rows[first[c] : first[c + 1]] for c in chosen]), np.concatenate([[0], np.cumsum(sizes)])
-
     net, learnt = Net(), np.flatnonzero(~fold)
-    own = of(learnt)
-    net.begin(*own, y[learnt])
-    net.fit(*own, y[learnt])
+    learnt = learnt[[len(rows[c]) > 0 for c in learnt]]  # a text without words has nothing to learn from
+    if not 0 < y[learnt].sum() < len(learnt):
+        return None
+    chosen = [rows[c] for c in learnt]
+    net.begin(chosen, y[learnt])
+    if learn:
+        net.fit(chosen, y[learnt])
     kept = np.flatnonzero(fold) if fold.any() else learnt
-    logits = net.logits(*of(kept))
+    logits = np.concatenate([net.logits(rows[c], np.array([0, len(rows[c])])) for c in kept])
     net.thresholds[:] = threshold(logits, y[kept])
     for n in range(len(LANGUAGES)):
         of_language = language[kept] == n
@@ -251,8 +264,12 @@ def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
 
 
 def fitted(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Net | None:
-    rows = sample(docs, labels, most).toArrow()
-    return train(rows.column("text").combine_chunks(), rows.column("toxic").to_numpy()) if rows.num_rows else None
+    try:
+        rows = sample(docs, labels, most).toArrow()
+        return train(rows.column("text").combine_chunks(), rows.column("toxic").to_numpy()) if rows.num_rows else None
+    finally:
+        rows = None
+        kernels.release()
 
 
 def score(docs: DataFrame, net: Net | None) -> DataFrame:
