@@ -1,8 +1,9 @@
 """URL filters: rules for hosts and paths, then logistic regression on hashed character n-grams.
 
-The model is trained on the driver from LABELLED, a small table of URLs, by plain gradient descent; its weights are
-rounded to whole thousandths, so sums are exact in any order. Over the pages everything is Spark's own functions within
-each row: characters to code points, code points to n-gram buckets, buckets to weights in one literal array.
+The model is trained on the driver from a small labelled table of URLs (LABELLED, or the caller's), by plain gradient
+descent; its weights are rounded to whole thousandths, so sums are exact in any order. Over the pages everything is
+Spark's own functions within each row: characters to code points, code points to n-gram buckets, buckets to weights in
+one literal array; the ends of a host, label by label, to the rules of that host in one literal table, dealt by hash.
 
 Host: after the first `://` up to `/`, `?`, `#` or the end, A-Z in lower case; path: from there up to `?`, `#` or the
 end. A rule fits its host and all subdomains if the path begins with the rule's; the longest fitting rule decides, else
@@ -15,7 +16,10 @@ decides (allow). Repeated rows give repeated rows; other columns are ignored.
 from __future__ import annotations
 
 import functools
+import json
 import math
+import re
+import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,40 +28,59 @@ from recollex.llm.common import lower_ascii, table
 
 #: (host, path, verdict) of the rules.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-#: Rules are compiled into the plan; this many at most.
-MOST_RULES = 500
 BUCKETS, BASE, SIZES = 16381, 257, (3, 4, 5)
 ROUNDS, RATE, DECAY, SCALE = 400, 0.5, 0.002, 1000
-#: The log odds before anything is known of a URL: most are not to be blocked.
-PRIOR = -1.5
-#: The labelled URLs, host then path: fixed values.
+#: The log odds before anything is known of a URL: one in thirteen is to be blocked.
+PRIOR = -2.5
+#: The labelled URLs: made up, none of a real host. Fixed values.
 BLOCKED = """
-casino-royal.example.com /play/bonus | www.online-casino.example.org /slots/22.html | casino-win.example.com /en/1
-bets-today.example.com /odds/live | free-bets.example.net /en/2 | m.sportbets.example.org /bonus?x=1
-cheap-pills.example.com /order/now | pills-shop.example.net /de/3 | www.discount-pills.example.org /viagra/10mg
-adult-x.example.com /video/4 | www.adult-cams.example.net /live | xxx-adult.example.org /gallery/7.html
-ads-track.example.com /pixel.gif | track-ads.example.net /click?id=1 | banner-ads.example.org /serve/5
-spam-farm.example.com /links/1 | www.spam-links.example.org /seo/8 | linkfarm-spam.example.net /en/9
-payday-loans.example.com /apply/fast | replica-watches.example.net /buy/6 | warez-crack.example.org /keygen.exe
-lottery-prize.example.com /claim/winner | miracle-diet.example.net /pills/trial | phishing-login.example.org /verify/account
-poker-win.example.com /free-chips | escort-x.example.net /adult/now | malware-drop.example.org /download.exe
+https://royal-casino-club.com/en/4410 https://www.luckyslots777.net/de/spin https://onlinecasino24.org/fr/820.html https://m.vegas-casino.com/es/12/
+https://casino-jackpots.net/play/bonus https://poker-room-vip.org/en/31 https://blog.casino-bonus-codes.com/de/7 https://www.roulette-casino.net/fr/5
+https://megabet365.com/odds/live https://sports-bets-tips.org/en/909 https://best-bets-daily.net/de/44/ https://m.super-bets.com/fr/3 https://www.freebets-bonus.org/es/1
+https://betting-odds.net/en/17.html https://win-big-lottery.com/claim/winner https://free-spins-win.org/en/2 https://www.lucky-win.net/de/81 https://win-prizes-free.com/fr/6
+https://discount-pills-rx.com/en/501 https://www.diet-pills-now.net/de/6 https://sleeping-pills-buy.org/fr/77.html https://m.blue-pills.com/es/2 https://pills-no-prescription.net/shop
+https://cheap-meds-online.org/en/9 https://cheap-viagra.com/order/10mg https://www.cheap-pharmacy.net/de/31/ https://cheap-tramadol-rx.org/fr/1 https://canadian-pharmacy.com/es/55
+https://hot-adult-cams.com/en/7 https://www.adult-videos-free.net/de/18 https://adultdating-local.org/fr/2001 https://m.adult-chat.com/es/4 https://xxx-tube.net/en/998
+https://pornhd.org/de/video https://escort-x.com/fr/annonces https://sexcams-x.net/es/24 https://x-adult-shop.org/en/61.html
+https://ads-server.com/en/5 https://www.popup-ads.net/de/12 https://banner-ads-push.org/fr/468 https://m.video-ads.com/es/3 https://ads-network.net/serve/zone
+https://clicktrack.com/en/778 https://www.pixel-track.org/de/1.gif https://user-track.net/fr/9 https://track-clicks.com/es/30/ https://adtrack-media.org/en/41
+https://seo-link-farm.com/en/8 https://www.content-farm.net/de/71 https://backlinks-farm.org/fr/4 https://m.click-farm.com/es/16 https://farm-links-seo.net/dir/9
+https://spam-blaster.com/en/2 https://www.mail-spam.org/de/40.html https://spamlinks.net/fr/3 https://m.comment-spam.com/es/7 https://spam-traffic.org/buy
+https://warez-crack.com/en/61 https://www.keygen-serials.net/download/keygen.exe https://payday-loans-fast.org/apply https://replica-watches.com/de/6 https://fake-login-verify.net/fr/account
 """
 ALLOWED = """
-www.example.com /en/1 | blog.example.org /2021/post.html | m.example.net /de/17 | news.example.com /world/article
-example.org /fr/22/ | docs.example.net /guide/start | wiki.example.org /page/history | www.thering.example.org /en/1291/
-blog.tionsh.example.com /fr/7424.html | m.theron.example.net /de/5989 | library.example.org /catalog/8 | thther.example.net /es/6964/
-shop.example.com /books/31 | university.example.org /courses/math | city.example.net /council/minutes | ththan.example.com /en/7944
-recipes.example.com /bread/rye | forum.example.net /thread/120 | museum.example.org /visit | therst.example.net /fr/4163
-weather.example.com /today | science.example.org /papers/5.html | gardening.example.net /tips | ththst.example.com /de/1989/
-travel.example.com /spain/madrid | music.example.org /album/12 | health.example.net /topics/sleep | www.theres.example.org /en/5397.html
-school.example.com /calendar | football.example.org /results | radio.example.net /schedule | erblehea.example.com /es/20
+https://www.riverside-gazette.com/world/31 https://blog.miriam-writes.org/en/2021 https://docs.library-kit.org/guide/start https://wiki.mountainclub.net/de/history
+https://library.northfield.com/catalog/8 https://www.cityofharrow.net/en/minutes https://museum-of-glass.org/fr/visit https://recipes.kitchentable.com/es/rye
+https://forum.woodworkers.net/en/120 https://weather.coastal.com/de/7.html https://science-letters.org/en/5.html https://gardening.greenhouse.net/fr/tips
+https://travel.slowroads.com/es/madrid https://music.small-records.org/en/12 https://health.county.com/de/6 https://school.westbrook.net/fr/91
+https://football.localclub.org/en/88 https://radio.harbour.net/es/4 https://www.thecarpenter.com/en/310 https://shop.bookbarn.com/de/31
+https://university-press.org/fr/courses https://www.bergwandern.net/de/17 https://nachrichten.rheinblick.com/de/442 https://www.stadt-bibliothek.org/de/katalog
+https://m.lesjardins.net/fr/5989 https://www.cuisine-facile.org/fr/22/ https://journal.provence.com/fr/culture https://www.elcamino.org/es/6964/
+https://noticias.valle-verde.com/es/20 https://cocina.abuela.net/es/sopas https://en.birdwatch.org/en/1291 https://theoldmill.com/en/7944.html
+https://www.lighthouse-trust.org/en/5397 https://chess.parkside.net/en/88 https://theatre.oldtown.org/fr/3 https://astronomy.skywatch.com/de/4
+https://www.trainspotter.net/en/1 https://knitting.woolshop.com/es/14 https://news.harborpost.com/en/2020 https://philosophy.readers.org/de/truth
+https://cycling.routes.net/fr/alps https://www.townchoir.org/es/9 https://history.archive.com/en/1843 https://blog.baker.net/fr/61.html
+https://photo.lens.org/es/2 https://www.volunteers.org/de/50 https://data.census.net/en/2011 https://support.printers.com/fr/7
+https://m.orchard-house.com/de/808 https://www.ferry-lines.net/es/77 https://pottery.clayworks.org/en/3 https://teahouse.com/fr/19/
+https://www.windmill-bakery.net/en/33 https://m.stone-bridge.org/de/2 https://lake-district.com/es/610 https://blog.harvest.net/en/45
+https://thornton.com/en/6 https://m.northern-star.net/fr/18.html https://blog.sherwood.org/en/230 https://www.trinity.com/de/71/
 """
 
 
-def labelled() -> list[tuple[str, str, int]]:
-    """(host, path, 1 if blocked) of the table."""
-    rows = [(x.split(), y) for part, y in ((BLOCKED, 1), (ALLOWED, 0)) for x in part.replace("\n", "|").split("|") if x.strip()]
-    return [(host, path.split("?")[0].split("#")[0], y) for (host, path), y in rows]
+def labelled() -> list[tuple[str, int]]:
+    """(url, 1 if it is to be blocked) of the table."""
+    return [(x, y) for part, y in ((BLOCKED, 1), (ALLOWED, 0)) for x in part.split()]
+
+
+#: The default of what the model is trained on.
+LABELLED = tuple(labelled())
+
+
+def cut(url: str) -> tuple[str, str]:
+    """The host and path of a URL, as host_and_path has them."""
+    rest = url.partition("://")[2]
+    host = re.match(r"[^/?#]*", rest)[0]
+    return "".join(c.lower() if c.isascii() else c for c in host), re.match(r"[^?#]*", rest[len(host) :])[0]
 
 
 def _salt(n: int, part: int) -> int:
@@ -77,10 +100,10 @@ def buckets(host: str, path: str) -> list[int]:
     return found
 
 
-@functools.lru_cache(maxsize=1)
-def model() -> tuple[int, tuple[int, ...]]:
-    """(bias, weight of each bucket), in thousandths."""
-    rows = [(buckets(h, p), y) for h, p, y in labelled()]
+@functools.lru_cache(maxsize=8)
+def model(table_: tuple[tuple[str, int], ...] = LABELLED) -> tuple[int, tuple[int, ...]]:
+    """(bias, weight of each bucket), in thousandths, from (url, label) rows."""
+    rows = [(buckets(*cut(url)), y) for url, y in table_]
     rows = [(b, y, 1 / len(b) ** 0.5) for b, y in rows]
     weights = [0.0] * BUCKETS
     seen = sorted({i for b, _, _ in rows for i in b})
@@ -95,6 +118,13 @@ def model() -> tuple[int, tuple[int, ...]]:
     return round(PRIOR * SCALE), tuple(round(w * SCALE) for w in weights)
 
 
+def scored(url: str, table_: tuple[tuple[str, int], ...] = LABELLED) -> float:
+    """The score of one URL in plain Python; over 0 is to be blocked."""
+    bias, weights = model(table_)
+    found = buckets(*cut(url))
+    return sum(weights[i] for i in found) / max(len(found), 1) ** 0.5 + bias
+
+
 def host_and_path(url: Column) -> tuple[Column, Column]:
     url = F.coalesce(url, F.lit(""))
     at = F.locate("://", url)
@@ -120,26 +150,45 @@ def _grams(codes: str, part: int) -> list[Column]:
     return found
 
 
-def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES) -> DataFrame:
-    """page_id, host, path, rule, score (the model's sum in thousandths) and verdict."""
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"{len(rules)} rules; {MOST_RULES} at most are compiled into a plan")
-    bias, weights = model()
+_RULE_BUCKETS = 1024
+
+
+def _rules_table(rules: tuple[tuple[str, str, str], ...]) -> Column:
+    """The rules as an array of buckets by the crc32 of their host."""
+    dealt: list[list[dict[str, str]]] = [[] for _ in range(_RULE_BUCKETS)]
+    for host, path, verdict in rules:
+        dealt[zlib.crc32(host.encode()) % _RULE_BUCKETS].append({"host": host, "path": path, "verdict": verdict})
+    return F.from_json(F.lit(json.dumps(dealt)), "array<array<struct<host:string,path:string,verdict:string>>>")
+
+
+def _fitting(host: Column, path: Column, rules: Column, labels: int) -> Column:
+    """The longest rule that fits, as a struct; labels: how many labels the longest rule's host has."""
+    parts = F.slice(F.reverse(F.split(host, r"\.")), 1, labels)
+    ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.reverse(F.slice(parts, 1, n)), "."))
+    own = F.flatten(F.transform(ends, lambda e: F.filter(F.get(rules, F.pmod(F.crc32(e.cast("binary")), F.lit(_RULE_BUCKETS)).cast("int")), lambda r: (r["host"] == e) & path.startswith(r["path"]))))
+    return F.array_max(F.transform(own, lambda r: F.struct(F.length(F.concat(r["host"], r["path"])).alias("n"), F.length(r["host"]).alias("h"), r["host"], r["path"], r["verdict"].alias("verdict"))))
+
+
+def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, labelled: tuple[tuple[str, int], ...] = LABELLED) -> DataFrame:
+    """page_id, host, path, rule, score (the model's sum in thousandths) and verdict.
+
+    Rules (host, path, verdict) and labelled URLs (url, 1 if it is to be blocked) are the caller's lists; both go to every task.
+    """
+    bias, weights = model(tuple(labelled))
     host, path = host_and_path(F.col("url").cast("string"))
     rows = pages.select(F.col("page_id").cast("long"), host.alias("host"), path.alias("path"))
-    rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for h, p, v in sorted(rules, key=lambda r: (len(r[0] + r[1]), len(r[0]), r)):
-        fits = ((F.col("host") == h) | F.col("host").endswith("." + h)) & F.col("path").startswith(p)
-        rule, verdict = F.when(fits, h + p).otherwise(rule), F.when(fits, v).otherwise(verdict)
-    rows = rows.select("*", rule.alias("rule"), verdict.alias("ruled"), _codes(F.col("host")).alias("hc"), _codes(F.col("path")).alias("pc"))
+    weights = F.expr(f"transform(split('{','.join(map(str, weights))}', ','), x -> cast(x as int))")
+    known = pages.sparkSession.range(1).select(weights.alias("weights"), _rules_table(tuple(rules)).alias("rules"))
+    rows = rows.crossJoin(F.broadcast(known))  # one row: the model and the rules
+    labels = max([r[0].count(".") + 1 for r in rules], default=1)
+    rows = rows.withColumn("own", _fitting(F.col("host"), F.col("path"), F.col("rules"), labels))
+    rows = rows.select("page_id", "host", "path", "own", "weights", _codes(F.col("host")).alias("hc"), _codes(F.col("path")).alias("pc"))
     rows = rows.withColumn("grams", F.concat(*_grams("hc", 0), *_grams("pc", 1))).drop("hc", "pc")
-    table_ = F.expr(f"transform(split('{','.join(map(str, weights))}', ','), x -> cast(x as int))")
-    rows = rows.crossJoin(F.broadcast(pages.sparkSession.range(1).select(table_.alias("weights"))))  # one row: the model
     total = F.aggregate("grams", F.lit(0), lambda s, g: s + F.get(F.col("weights"), g))
     # the bias is held against the sum as the training scaled it: by the root of the number of n-grams
-    score = total / F.sqrt(F.greatest(F.size("grams"), F.lit(1)).cast("double")) + bias
-    rows = rows.withColumn("score", score)
-    return rows.select("page_id", "host", "path", "rule", "score", F.coalesce("ruled", F.when(F.col("score") > 0, "block").otherwise("allow")).alias("verdict"))
+    rows = rows.withColumn("score", total / F.sqrt(F.greatest(F.size("grams"), F.lit(1)).cast("double")) + bias)
+    verdict = F.coalesce(F.col("own.verdict"), F.when(F.col("score") > 0, "block").otherwise("allow"))
+    return rows.select("page_id", "host", "path", F.concat("own.host", "own.path").alias("rule"), "score", verdict.alias("verdict"))
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
