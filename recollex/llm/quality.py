@@ -131,13 +131,12 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sql() -> str:
-    """The same in DuckDB's SQL: words and windows as rows, lines as rows.
-
-    As first agreed: it sets whole lines with a phrase aside, so its kept is another where such a line is long or fails
-    another rule, or nothing else is there.
-    """
+    """The same in DuckDB's SQL: words and windows as rows, lines as rows."""
     word = r"[^\x20\x09-\x0D]"
-    aside = " OR ".join(f"contains(lower(line), '{p}')" for p in BOILERPLATE)
+    mark = "chr(57344)"  # stands between sentences
+    aside = lambda c: "(" + " OR ".join(f"contains(lower({c}), '{p}')" for p in BOILERPLATE) + ")"
+    sentences = rf"string_split(regexp_replace(line, '([.!?])([\x20\x09-\x0D])', '\1' || {mark} || '\2', 'g'), {mark})"
+    cut = f"list_filter({sentences}, lambda s: NOT ({aside('s')} AND len(regexp_extract_all(s, '{word}+')) <= {BOILERPLATE_WORDS}))"
     return rf"""
     WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
     w AS (SELECT r, doc_id, text, regexp_extract_all(text, '{word}+') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{word}')) AS l FROM d),
@@ -145,16 +144,16 @@ def sql() -> str:
     f AS (SELECT r, i FROM g QUALIFY count(*) OVER (PARTITION BY r, g) > 1),
     n AS (SELECT r, count(DISTINCT i + k) AS n FROM f, range({WINDOW}) o(k) GROUP BY r),
     x AS (SELECT r, line, regexp_extract_all(line, '{word}+') AS w FROM (SELECT r, unnest(l) AS line FROM w)),
-    y AS (SELECT r, len(w) AS n, ({aside}) AS aside, (100 * (length(line) - length(regexp_replace(line, '[#*$%&|<>]', '', 'g'))) >= {SYMBOL_PERCENT} * length(array_to_string(w, ''))
+    y AS (SELECT r, len(w) AS n, CASE WHEN {aside('line')} THEN len(regexp_extract_all(array_to_string({cut}, ''), '{word}+')) ELSE len(w) END AS m, (100 * (length(line) - length(regexp_replace(line, '[#*$%&|<>]', '', 'g'))) >= {SYMBOL_PERCENT} * length(array_to_string(w, ''))
             OR 3 * len(list_filter(w, lambda t: list_contains(['|', '>', '»', '·', '•', '/'], t))) >= len(w)
             OR (len(w) <= 3 AND NOT regexp_matches(line, '[.!?:;,…"''”’»)\]][ 	-
 ]*$'))
             OR (len(w) >= 3 AND upper(line) = line AND lower(line) <> line)
             OR 2 * len(list_filter(w, lambda t: ends_with(t, '!!') OR ends_with(t, '??'))) > len(w)
             OR 3 * len(list_filter(range(1, len(w)), lambda i: w[i] = w[i + 1])) >= len(w)) AS fails FROM x),
-    z AS (SELECT r, sum(n) FILTER (NOT aside) AS judged, sum(n) FILTER (NOT aside AND NOT fails) AS kept FROM y GROUP BY r),
+    z AS (SELECT r, sum(n - m) FILTER (NOT fails) AS gone, sum(m) FILTER (NOT fails) AS kept FROM y GROUP BY r),
     b AS (SELECT w.r, doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
             (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n.n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN n USING (r))
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_PERCENT} * n_words) AS base_failed,
-           NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_PERCENT} * n_words) AND 100 * coalesce(kept, 0) >= {KEEP_PERCENT} * coalesce(judged, 0) AS kept FROM b LEFT JOIN z USING (r)
+           NOT (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {REPEAT_PERCENT} * n_words) AND coalesce(kept, 0) > 0 AND 100 * coalesce(kept, 0) >= {KEEP_PERCENT} * (n_words - coalesce(gone, 0)) AS kept FROM b LEFT JOIN z USING (r)
     """
