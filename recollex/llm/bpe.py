@@ -20,9 +20,11 @@ import functools
 import hashlib
 import json
 import unicodedata
+from array import array
 from collections.abc import Iterable, Iterator
 from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
@@ -31,9 +33,13 @@ from pyspark.sql import functions as F
 from recollex.llm import kernels
 from recollex.llm.common import table
 
-#: Texts (in characters) whose new words share one traversal, and white-space-free chunks that a worker remembers.
-SLICE_CHARS = 2_000_000
-REMEMBERED = 400_000
+#: Texts (in characters) whose new words share one traversal, and bytes of what a task remembers of chunks (white-space-free
+#: parts of texts): one generation of that size is in use, the one before it is looked up and then forgotten.
+SLICE_CHARS = 1_000_000
+REMEMBERED_BYTES = 48_000_000
+#: Entries of the memories that a worker keeps between tasks: neighbours judged, and steps of the automaton.
+JUDGED = 200_000
+_END = 256
 _SPACES = regex.compile(r"\p{White_Space}+")
 _CONTROLS = regex.compile("[\x1c-\x1f]")
 #: The pre-tokens of the file: fixed values.
@@ -71,26 +77,53 @@ class Tokenizer:
         top = max(self.text) + 1
         self.length, self.shown, self.decimal = [0] * top, [self.text.get(i, "") for i in range(top)], [str(i) for i in range(top)]
         self.steps: dict[int, int] = {}
-        self.token_at = [-1, -1]
+        self.token_at = [-1]
+        self._fail = array("i", [0])
+        above, depth = array("i", [0]), [0]
+        if not self.end:
+            raise ValueError("the vocabulary has no suffix for word ends")
+        specials = set(self.specials.values())
         for t, i in self.ids.items():
-            if i not in self.specials.values():
-                self._enter(t, i)
+            if i not in specials:
+                self._enter(t, i, above, depth)
+        self.out = [-1] * len(depth)
+        self._link(above, depth)
+        self._next: dict[int, int] = {}
         self._right: dict[int, list[tuple[int, int]]] = {}
         self._left: dict[int, list[tuple[int, int]]] = {}
         self._whole: dict[int, bool] = {}
         self._beside: dict[int, bool] = {}
 
-    def _enter(self, token: str, i: int) -> None:
-        """Into the trie of tokens read from their end; node 0 begins tokens within a word, node 1 those that end one."""
-        ends = bool(self.end) and token.endswith(self.end)
-        raw = bytes(self.byte_of[c] for c in (token.removesuffix(self.end) if ends else token))
-        node = int(ends)
-        for b in reversed(raw):
-            node = self.steps.setdefault(node << 8 | b, len(self.token_at))
+    def _enter(self, token: str, i: int, above: array, depth: list[int]) -> None:
+        """Into the trie of tokens, a word's end being a letter of its own; above: the step (node, letter) that leads to each node."""
+        ends = token.endswith(self.end)
+        raw = [self.byte_of[c] for c in (token.removesuffix(self.end) if ends else token)]
+        self.length[i] = len(raw)
+        node = 0
+        for b in [*raw, _END] if ends else raw:
+            key = node << 9 | b
+            node = self.steps.setdefault(key, len(self.token_at))
             if node == len(self.token_at):
                 self.token_at.append(-1)
+                above.append(key)
+                depth.append(depth[key >> 9] + 1)
         self.token_at[node] = i
-        self.length[i] = len(raw)
+
+    def _link(self, above: array, depth: list[int]) -> None:
+        """For each node, the longest proper suffix that is a node, and the longest that is a token (out), -1 if none."""
+        self._fail = array("i", bytes(4 * len(depth)))
+        for node in sorted(range(1, len(depth)), key=depth.__getitem__):
+            key = above[node]
+            fail = self._fail[node] = self.step(self._fail[key >> 9], key & 511) if key >> 9 else 0
+            self.out[node] = fail if self.token_at[fail] >= 0 else self.out[fail]
+
+    def step(self, node: int, letter: int) -> int:
+        """The node of the longest suffix, within the trie, of a node's text and one more letter."""
+        while (to := self.steps.get(node << 9 | letter)) is None:
+            if not node:
+                return 0
+            node = self._fail[node]
+        return to
 
     def _edge(self, token: int, side: int, held: dict[int, list[tuple[int, int]]]) -> list[tuple[int, int]]:
         """The tokens that stand at one edge of token while it is put together, each with the rank that ends it."""
@@ -136,12 +169,17 @@ class Tokenizer:
         return self.is_whole(b) and self._untouched(a, b, _NEVER)
 
     def encode_words(self, words: Iterable[bytes]) -> dict[bytes, list[int]]:
-        """The ids of each distinct word: one walk over the trie of the words, depth first."""
-        steps, token_at, length, beside = self.steps, self.token_at, self.length, self._beside
-        if len(beside) > 200_000:
-            beside.clear()
+        """The ids of each distinct word: one walk over the trie of the words, depth first.
+
+        A state is the last token of the encoding of a prefix, the word going on, and the node of the tokens' automaton
+        that tells which tokens end there. A prefix that words share is walked once.
+        """
+        follow, token_at, out, length, beside = self._next, self.token_at, self.out, self.length, self._beside
+        for held in (follow, beside):
+            if len(held) > JUDGED:
+                held.clear()
         found: dict[bytes, list[int]] = {b"": []}
-        last, before = [0], b""  # last[i]: the last token of the encoding of the first i letters, the word going on
+        last, nodes, before = [0], [0], b""
         for word in sorted(set(words)):
             n = len(word)
             if not n:
@@ -149,27 +187,37 @@ class Tokenizer:
             shared, most = 0, min(n, len(before)) - 1
             while shared < most and word[shared] == before[shared]:
                 shared += 1
-            del last[shared + 1 :]
-            token = 0
-            for at in range(shared + 1, n + 1):
-                node, i, fits = int(at == n), at - 1, []
-                while i >= 0 and (node := steps.get(node << 8 | word[i], -1)) >= 0:
-                    if token_at[node] >= 0:
-                        fits.append(token_at[node])
-                    i -= 1
-                while fits:
-                    token = fits.pop()
+            del last[shared + 1 :], nodes[shared + 1 :]
+            at, node, token = shared, nodes[shared], 0
+            while at < n:
+                key = node << 9 | word[at]
+                if (to := follow.get(key)) is None:
+                    to = follow[key] = self.step(node, word[at])
+                node = to
+                at += 1
+                if at == n:
+                    key = node << 9 | _END
+                    if (to := follow.get(key)) is None:
+                        to = follow[key] = self.step(node, _END)
+                place = to if token_at[to] >= 0 else out[to]
+                while place >= 0:
+                    token = token_at[place]
                     start = at - length[token]
                     if not start:
-                        good = self.is_whole(token)
-                    elif (good := beside.get(key := last[start] << 20 | token)) is None:
-                        good = beside[key] = self.beside(last[start], token)
-                    if good:
-                        break
+                        if self.is_whole(token):
+                            break
+                    else:
+                        key = last[start] << 20 | token
+                        if (good := beside.get(key)) is None:
+                            good = beside[key] = self.beside(last[start], token)
+                        if good:
+                            break
+                    place = out[place]
                 else:
                     raise ValueError(f"the vocabulary has no token for the end of {word[:at]!r}")
                 if at < n:
                     last.append(token)
+                    nodes.append(node)
             ids, at = [token], n - length[token]
             while at:
                 ids.append(last[at])
@@ -210,30 +258,49 @@ def tokenizer(path: str) -> Tokenizer:
 def chunks(text: str) -> Iterator[list[str]]:
     """The parts of a normal text that hold no white space, some at a time; no pre-token reaches over white space."""
     if len(text) <= SLICE_CHARS:
-        yield _SPACES.split(text) if _CONTROLS.search(text) else text.split()
+        yield [c for c in _SPACES.split(text) if c] if _CONTROLS.search(text) else text.split()
         return
     each = (m[0] for m in regex.finditer(r"\P{White_Space}+", text))
     while part := list(islice(each, 100_000)):
         yield part
 
 
-class Encoder:
-    """Encodes texts and remembers chunks; what it remembers is bounded and never changes a result."""
+#: What is known of a chunk: the bytes of its ids (32 bits each) and its decoded text; with digests, how many ids, these in decimal and its decoded text.
+Known = tuple[bytes, str] | tuple[int, str, str]
 
-    def __init__(self, path: str):
-        self.tokenizer = tokenizer(path)
-        self.known: dict[str, tuple[list[int], str, str]] = {"": ([], "", "")}
 
-    def learn(self, new: Iterable[str]) -> None:
-        t = self.tokenizer
-        if len(self.known) > REMEMBERED:
-            self.known = {"": ([], "", "")}
-        shown, decimal, known = t.shown, t.decimal, self.known
-        split = {c: [c.encode()] if c.isalpha() and c.isascii() else [w.encode() for w in _WORDS.findall(c)] for c in new}
+class Encoder:
+    """Encodes texts and remembers chunks; what it remembers is bounded in bytes and never changes a result."""
+
+    def __init__(self, path: str, digests: bool = False):
+        self.tokenizer, self.digests = tokenizer(path), digests
+        self.young: dict[str, Known] = {}
+        self.old: dict[str, Known] = {}
+        self.size = 0
+
+    def learn(self, some: Iterable[str]) -> None:
+        """After it every one of the distinct chunks is in `young`."""
+        if self.size > REMEMBERED_BYTES:
+            self.old, self.young, self.size = self.young, {}, 0
+        t, young, old, digests = self.tokenizer, self.young, self.old, self.digests
+        split: dict[str, list[bytes]] = {}
+        size = 0
+        for c in some:
+            if c in young:
+                continue
+            if (known := old.get(c)) is not None:
+                young[c] = known
+                size += 250 + len(c) + sum(map(len, known[1:]))
+            else:
+                split[c] = [c.encode()] if c.isalpha() and c.isascii() else [w.encode() for w in _WORDS.findall(c)]
+        shown, decimal = t.shown, t.decimal
         ids = t.encode_words([w for words in split.values() for w in words])
         for c, words in split.items():
             own = ids[words[0]] if len(words) == 1 else [i for w in words for i in ids[w]]
-            known[c] = (own, " ".join([decimal[i] for i in own]), " ".join([shown[i] for i in own]))
+            text = " ".join([shown[i] for i in own])
+            known = young[c] = (len(own), " ".join([decimal[i] for i in own]), text) if digests else (array("i", own).tobytes(), text)
+            size += 250 + len(c) + len(text) + len(known[0 if not digests else 1])
+        self.size += size
 
     def split(self, text: str) -> Iterator[list[str] | int]:
         """The chunks of a text, some at a time, and the ids of its special tokens."""
@@ -243,53 +310,63 @@ class Encoder:
             else:
                 yield from chunks(self.tokenizer.normal(piece))
 
-    def parts(self, split: Iterable[list[str] | int]) -> Iterator[list[tuple[list[int], str, str]]]:
-        """(ids, ids in decimal, decoded) of the chunks and special tokens of a text that split() has made."""
+    def parts(self, split: Iterable[list[str] | int]) -> Iterator[list[Known]]:
+        """What is known of the chunks and special tokens of a text that split() has made, some at a time, none of them empty."""
         t = self.tokenizer
         for some in split:
             if isinstance(some, int):
-                yield [([some], str(some), t.text[some])]
-                continue
-            if not all(map(self.known.__contains__, some)):
-                self.learn(set(some).difference(self.known))
-                if not all(map(self.known.__contains__, some)):  # the memory was emptied on the way
+                yield [(1, str(some), t.text[some]) if self.digests else (array("i", [some]).tobytes(), t.text[some])]
+            elif some:
+                if not all(map(self.young.__contains__, some)):
                     self.learn(set(some))
-            yield [x for x in map(self.known.__getitem__, some) if x[1]]
+                yield list(map(self.young.__getitem__, some))
+
+    def digest(self, split: Iterable[list[str] | int]) -> tuple[int, str, str]:
+        """How many ids a text has, and the digests of these and of its decoded text."""
+        n, a, b = 0, hashlib.sha256(), hashlib.sha256()
+        for parts in self.parts(split):
+            counts, ids, shown = zip(*parts, strict=True)
+            gap = " " if n else ""
+            n += sum(counts)
+            a.update((gap + " ".join(ids)).encode())
+            b.update((gap + " ".join(shown)).encode())
+        return n, a.hexdigest(), b.hexdigest()
+
+    def whole(self, split: Iterable[list[str] | int]) -> tuple[bytes, str]:
+        """The ids of a text, 32 bits each, and its decoded text."""
+        ids, shown = [], []
+        for parts in self.parts(split):
+            own, text = zip(*parts, strict=True)
+            ids.append(b"".join(own))
+            shown.append(" ".join(text))
+        return b"".join(ids), " ".join(shown)
+
+
+def _rows(encoder: Encoder, ids: pa.Array, splits: list[Iterable[list[str] | int]]) -> pa.RecordBatch:
+    names = ["doc_id", "n_tokens"]
+    if encoder.digests:
+        counts, a, b = zip(*map(encoder.digest, splits), strict=True)
+        return pa.RecordBatch.from_arrays([ids, pa.array(counts, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], [*names, "ids_sha256", "decoded_sha256"])
+    own, decoded = zip(*map(encoder.whole, splits), strict=True)
+    counts = np.array([len(x) // 4 for x in own], np.int64)
+    offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+    values = pa.array(np.frombuffer(b"".join(own), np.int32))
+    return pa.RecordBatch.from_arrays([ids, pa.array(counts), pa.ListArray.from_arrays(pa.array(offsets), values), pa.array(decoded, pa.string())], [*names, "ids", "decoded"])
 
 
 def _encoded(path: str, digests: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    encoder = Encoder(path)  # ends with the task: a worker that waits for its next one holds only the vocabulary
+    encoder = Encoder(path, digests)  # ends with the task: a worker that waits for its next one holds only the vocabulary
     for batch in batches:
         at = 0
         while at < batch.num_rows:
-            texts, size, to = [], 0, at
+            splits, size, to = [], 0, at
             while to < batch.num_rows and (to == at or size < SLICE_CHARS):
                 text = batch.column(1)[to].as_py() or ""
                 size += len(text)
-                texts.append(list(encoder.split(text)) if len(text) <= SLICE_CHARS else encoder.split(text))
+                splits.append(list(encoder.split(text)) if len(text) <= SLICE_CHARS else encoder.split(text))
                 to += 1
-            new = {c for x in texts if isinstance(x, list) for some in x if isinstance(some, list) for c in some}  # one trie for the slice
-            if new := new.difference(encoder.known):
-                encoder.learn(new)
-            counts, firsts, seconds = [], [], []
-            for x in texts:
-                n, a, b, c = 0, [], hashlib.sha256(), hashlib.sha256()
-                for parts in encoder.parts(x):
-                    if not parts:
-                        continue
-                    gap = " " if n else ""
-                    n += sum([len(p[0]) for p in parts])
-                    if digests:
-                        b.update((gap + " ".join([p[1] for p in parts])).encode())
-                        c.update((gap + " ".join([p[2] for p in parts])).encode())
-                    else:
-                        a += [i for p in parts for i in p[0]]
-                counts.append(n)
-                firsts.append(b.hexdigest() if digests else a)
-                seconds.append(c.hexdigest() if digests else encoder.tokenizer.decode(a))
-            kind = pa.string() if digests else pa.list_(pa.int32())
-            names = ["ids_sha256", "decoded_sha256"] if digests else ["ids", "decoded"]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, to - at), pa.array(counts, pa.int64()), pa.array(firsts, kind), pa.array(seconds, pa.string())], ["doc_id", "n_tokens", *names])
+            encoder.learn({c for x in splits if isinstance(x, list) for some in x if isinstance(some, list) for c in some})  # one trie for the slice
+            yield _rows(encoder, batch.column(0).slice(at, to - at), splits)
             at = to
 
 
