@@ -8,6 +8,10 @@ leaves it touched and of their ancestors; all the rest stays as it was counted.
 Why that is enough: where a pre-token ends depends on at most two characters behind it, so borders two characters
 before an edit hold; and splitting is memoryless, so once it meets an old border behind the edit, the old borders follow.
 
+Trees are kept: `trees` writes them as rows (for each leaf its text, the lengths of its pre-tokens and its tokens), and
+`edited` takes such a table and a table of edits, touches only the trees that have edits, encodes only what these change,
+and gives the trees and counts that follow; its result is the input of the next edits.
+
 Tokens are those of a byte-level BPE vocabulary file, with no special tokens.
 
 Defined results: a null text counts as empty and stays so; edits beyond the end of a text are moved to its end; a null
@@ -20,6 +24,7 @@ from __future__ import annotations
 import base64
 import functools
 from collections.abc import Iterator
+from itertools import accumulate, pairwise
 
 import pyarrow as pa
 import regex
@@ -28,7 +33,7 @@ from pyspark.sql import functions as F
 
 from recollex.llm.common import table
 
-LEAF, CONTEXT, REMEMBERED = 64, 3, 400_000
+LEAF, CONTEXT, REMEMBERED = 64, 3, 200_000
 #: Pre-tokens of the vocabulary: a fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -68,14 +73,34 @@ class TokenTree:
         self._build(_PIECES.findall(text))
 
     def _build(self, pieces: list[str]) -> None:
-        self.leaves = [pieces[i : i + LEAF] for i in range(0, len(pieces), LEAF)] or [[]]
-        self.size = 1 << (len(self.leaves) - 1).bit_length()
+        leaves = [pieces[i : i + LEAF] for i in range(0, len(pieces), LEAF)] or [[]]
+        self._sum(leaves, [sum(map(self.counts.__getitem__, own)) for own in leaves])
+
+    def _sum(self, leaves: list[list[str]], tokens: list[int]) -> None:
+        """Leaves with their tokens, and the sums above them."""
+        self.leaves, self.size = leaves, 1 << (len(leaves) - 1).bit_length()
         self.chars, self.tokens = [0] * (2 * self.size), [0] * (2 * self.size)
-        for i, own in enumerate(self.leaves):
-            self.chars[self.size + i], self.tokens[self.size + i] = sum(map(len, own)), sum(map(self.counts.__getitem__, own))
+        self.chars[self.size : self.size + len(leaves)] = [sum(map(len, own)) for own in leaves]
+        self.tokens[self.size : self.size + len(leaves)] = tokens
         for i in range(self.size - 1, 0, -1):
             self.chars[i], self.tokens[i] = self.chars[2 * i] + self.chars[2 * i + 1], self.tokens[2 * i] + self.tokens[2 * i + 1]
 
+    def dump(self) -> list[dict]:
+        """The leaves, as rows of LEAVES."""
+        return [{"text": "".join(own), "lengths": list(map(len, own)), "tokens": self.tokens[self.size + i]} for i, own in enumerate(self.leaves) if own]
+
+    @classmethod
+    def load(cls, leaves: list[dict], counts: Counts) -> TokenTree:
+        """The tree of dumped leaves; nothing is encoded."""
+        tree = cls.__new__(cls)
+        tree.counts, tree.encoded = counts, 0
+        tree.leaves = []
+        for leaf in leaves:
+            ends = [0, *accumulate(leaf["lengths"])]
+            tree.leaves.append([leaf["text"][a:b] for a, b in pairwise(ends)])
+        tree._sum(tree.leaves or [[]], [leaf["tokens"] for leaf in leaves] or [0])
+        return tree
+
     @property
     def n_chars(self) -> int:
         return self.chars[1]
@@ -212,6 +237,68 @@ def count(docs: DataFrame, path: str | None = None) -> DataFrame:
     return rows.mapInArrow(lambda it: _counted(path, it), schema)
 
 
+LEAVES = "array<struct<text:string,lengths:array<int>,tokens:long>>"
+_LEAVES = pa.list_(pa.struct([("text", pa.string()), ("lengths", pa.list_(pa.int32())), ("tokens", pa.int64())]))
+TREES = f"doc_id long, n_chars long, n_tokens long, n_encoded long, leaves {LEAVES}"
+#: Characters of trees that make one batch of rows.
+TREE_CHARS = 4_000_000
+
+
+def _trees(made: Iterator[tuple[int | None, TokenTree]]) -> Iterator[pa.RecordBatch]:
+    rows, size = [], 0
+
+    def batch() -> pa.RecordBatch:
+        ids, *numbers, leaves = zip(*rows, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(x, pa.int64()) for x in numbers), pa.array(leaves, _LEAVES)], ["doc_id", "n_chars", "n_tokens", "n_encoded", "leaves"])
+
+    for doc, tree in made:
+        rows.append((doc, tree.n_chars, tree.n_tokens, tree.encoded, tree.dump()))
+        size += tree.n_chars
+        if size >= TREE_CHARS:
+            yield batch()
+            rows, size = [], 0
+    if rows:
+        yield batch()
+
+
+def trees(docs: DataFrame, path: str | None = None) -> DataFrame:
+    """The tree of each row of docs (doc_id, text), as a row that `edited` takes: doc_id, n_chars, n_tokens, n_encoded (0) and leaves."""
+    path = path or default_path()
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, TokenTree]]:
+        counts = counts_of(path)
+        for b in batches:
+            for i in range(b.num_rows):
+                yield b.column(0)[i].as_py(), TokenTree(b.column(1)[i].as_py() or "", counts)
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lambda it: _trees(made(it)), TREES)
+
+
+def edited(kept: DataFrame, edits: DataFrame, path: str | None = None) -> DataFrame:
+    """The trees that `kept`, trees with one row a doc_id, become by edits (doc_id, seq, start, end, replacement), applied in order of seq.
+
+    Trees without edits are passed on as they are, with n_encoded 0; edits of documents that are not there, or of a null
+    doc_id, change nothing.
+    """
+    path = path or default_path()
+    step = F.struct("seq", *(F.col(c).cast("long").alias(c) for c in ("start", "end")), F.col("replacement").cast("string").alias("replacement"))
+    of = edits.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.sort_array(F.collect_list(step)).alias("edits"))
+    of = of.withColumn("edits", F.transform("edits", lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"), e["replacement"].alias("replacement"))))
+    rows = kept.select("doc_id", "n_chars", "n_tokens", F.lit(0).cast("long").alias("n_encoded"), "leaves").join(of, "doc_id", "left")
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, TokenTree]]:
+        counts = counts_of(path)
+        for b in batches:
+            for r in b.to_pylist():
+                tree = TokenTree.load(r["leaves"] or [], counts)
+                for e in r["edits"]:
+                    tree.edit(e["start"] or 0, e["end"] or 0, e["replacement"] or "")
+                yield r["doc_id"], tree
+
+    same = rows.where("edits is null").drop("edits")
+    return same.unionByName(rows.where("edits is not null").select("doc_id", "leaves", "edits").mapInArrow(lambda it: _trees(made(it)), TREES))
+
+
 def sample_edits(docs: DataFrame) -> DataFrame:
     """docs with three edits a row, at places that follow from doc_id: an insertion, a deletion and a replacement."""
     n = F.length(F.coalesce("text", F.lit("")))

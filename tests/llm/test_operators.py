@@ -312,6 +312,36 @@ def test_token_counts_follow_edits(spark, odd, documents):
     assert all(r.n_tokens == r.n_tokens_edited for r in tokencount.count(none).collect())
 
 
+def test_token_trees_are_kept_between_edits(spark, documents):
+    """Two rounds of edits on written trees, against counting the edited texts anew; little is encoded."""
+    counts = tokencount.counts_of(tokencount.default_path())
+    rng = random.Random(7)
+    texts = {r.doc_id: r.text for r in documents.limit(60).collect()} | {10_001: "", 10_002: "one"}
+    kept = tokencount.trees(spark.createDataFrame([*texts.items(), (10_003, None)], "doc_id long, text string"))
+    texts[10_003] = ""
+    for _ in range(2):
+        edits = []
+        for i in [*rng.sample(sorted(texts), 25), 99_999]:
+            for seq in range(3):
+                a = rng.randint(0, len(texts.get(i, "")) + 3)
+                edits.append((i, seq, a, a + rng.choice([0, 4, 30]), rng.choice([None, " new", "don't 12", "\n\n"])))
+        rng.shuffle(edits)
+        for i, _, a, b, new in sorted(edits, key=lambda e: e[:2]):
+            if i in texts:
+                t = texts[i]
+                a, b = min(a, len(t)), min(b, len(t))
+                texts[i] = t[:a] + (new or "") + t[b:]
+        after = tokencount.edited(kept, spark.createDataFrame(edits, "doc_id long, seq int, start long, end long, replacement string"))
+        kept = spark.createDataFrame(after.collect(), tokencount.TREES)
+        got = {r.doc_id: r for r in kept.collect()}
+        assert {i: (len(t), len(counts.encode(t))) for i, t in texts.items()} == {i: (r.n_chars, r.n_tokens) for i, r in got.items()}
+        assert {i: "".join(x.text for x in r.leaves) for i, r in got.items()} == texts
+        touched = {e[0] for e in edits}
+        assert all(r.n_encoded == 0 for i, r in got.items() if i not in touched) and max(r.n_encoded for r in got.values()) < 200
+    none = spark.createDataFrame([], "doc_id long, seq int, start long, end long, replacement string")
+    assert tokencount.edited(kept, none).count() == len(texts) and tokencount.edited(kept.limit(0), none).count() == 0
+
+
 # ---- 6 ----
 def brute_groups(rows, k, percent):
     sets = {}
@@ -643,12 +673,57 @@ def test_pii_counts(spark):
 
 
 # ---- 10 ----
+def word_hash(word):
+    """The order in which words end sentences, in whole numbers: a polynomial of random values of the bytes, mixed."""
+    mask = (1 << 64) - 1
+
+    def mixed(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & mask
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & mask
+        return x ^ x >> 31
+
+    base = 0x9E3779B97F4A7C15
+    total = sum(mixed((b + 1) * base & mask) * pow(base, i, 1 << 64) for i, b in enumerate(word.encode()))
+    return mixed(total + len(word.encode()) & mask)
+
+
+def brute_spans(rows):
+    """doc_id: the sentences it loses, by plain Python."""
+    places, gap = {}, spans.GAP
+    for doc, text in rows:
+        if doc is None or text is None:
+            continue
+        words, stops = [], []
+        for line in text.split("\n"):
+            for word in re.findall(r"[^\x20\x09-\x0D]+", line):
+                words.append(re.sub("[A-Z]", lambda m: m[0].lower(), word))
+                stops.append(bool(re.search(r"[.!?,;:][\"')\]]?$", word)))
+            if stops:
+                stops[-1] = True
+        hashes = [word_hash(w) for w in words]
+        ends = {i for i, stop in enumerate(stops) if stop}
+        for i in range(len(words) - gap + 1):
+            if not any(stops[i : i + gap]):
+                ends.update(j for j in range(i, i + gap) if hashes[j] == min(hashes[i : i + gap]))
+        at = [0, *(i + 1 for i in sorted(ends))]
+        cut = [words[i:j] for i, j in zip(at, at[1:])]
+        for i in range(len(cut) - spans.RUN + 1):
+            until = next((j for j in range(i + spans.RUN, len(cut) + 1) if sum(map(len, cut[i:j])) >= spans.MIN_WORDS), 0)
+            if until:
+                places.setdefault(tuple(" ".join(s) for s in cut[i:until]), set()).add((doc, i))
+    lost = {}
+    for span, found in places.items():
+        for doc, i in sorted(found)[1:]:
+            lost.setdefault(doc, set()).update(range(i, i + len(span)))
+    return lost
+
+
 def test_spans_are_brute_force(spark, texts):
     passage = "One sentence of the shared passage is here. Another one follows it at once! Is this the third of them? The fourth goes on and on for some words. Five."
     rows = [*texts.items(), (9001, "Own start here. " + passage + " Own end."), (9002, passage.replace(" ", " \t ", 3)), (9003, "Clean text. Nothing shared. At all."), (None, passage), (9004, None), (9005, "")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r for r in spans.dedup(df).collect()}
-    want = spans.brute_force(rows)
+    want = brute_spans(rows)
     assert {i: r.n_removed for i, r in got.items() if r.n_removed} == {i: len(s) for i, s in want.items()}
     assert got[9001].n_removed == 0 and got[9002].n_removed > 0
     assert got[9003].cleaned == "Clean text. Nothing shared. At all." and got[None].cleaned == passage and got[9004].cleaned is None
