@@ -61,6 +61,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     found = spark.read.schema(df.schema).parquet(path)
     _paths[found] = path
+    _open.append(path)
     return found
 
 
@@ -68,13 +69,30 @@ def written(df: DataFrame, name: str) -> DataFrame:
 _paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
+#: Paths of these tables, in the order they were made, as long as they are there.
+_open: list[str] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _open.remove(path)
+
+
 def delete(*tables: DataFrame) -> None:
     """Delete tables of written() that nothing which is still to be computed reads; what a result reads stays for the caller."""
     for df in tables:
-        if path := _paths.pop(df, None):
-            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(conf).delete(at, True)
+        if (path := _paths.pop(df, None)) in _open:
+            _delete(df.sparkSession, path)
+
+
+@contextlib.contextmanager
+def only(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Of the tables that written() makes within, those that are put into the list stay and all others are deleted at the end."""
+    before, kept = set(_open), []
+    yield kept
+    for path in {*_open} - before - {_paths.get(df) for df in kept}:
+        _delete(spark, path)
 
 
 def lower_ascii(c: Column) -> Column:

@@ -1,7 +1,9 @@
 """The pipeline and its stages, each on its own input, against plain Python."""
 
+import pytest
+
 import corpus_pipeline as P
-from recollex.llm import bpe, mixing, neardup, pii, toxicity
+from recollex.llm import bpe, common, mixing, neardup, pii, toxicity
 
 D = "/root/testdata/sf0.01"
 
@@ -40,8 +42,25 @@ def test_near_duplicates_keep_one_row_of_a_doc_id(spark):
 
 
 def test_run(spark):
+    before = set(common._open)
     rows = P.run(spark, "/root/testdata/sf0.001")
     assert rows.count() > 0 and rows.columns == ["doc_id", "n_tokens", "ids", "decoded"]
+    left = set(common._open) - before
+    assert len(left) == 1 and all("mixture" in x for x in left)
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    class Context:
+        master = "yarn"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext, conf = Context(), {}
+
+    with pytest.raises(RuntimeError):
+        common.shared_dir(Session())
 
 
 def test_empty_and_odd_tables(spark, tmp_path):
