@@ -202,6 +202,11 @@ def pramana(text: Column) -> Column:
     return rules.label(text, rules.PRAMANA, "unknown")
 
 
+def plain_words(c: Column) -> Column:
+    """Letters and digits in lower case, in order."""
+    return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+
+
 def pramana_strength(kind: Column) -> Column:
     found = F.element_at(F.create_map(*[F.lit(x) for pair in rules.PRAMANA_STRENGTH.items() for x in pair]), kind)
     return F.coalesce(found, F.lit(rules.PRAMANA_MISSING))

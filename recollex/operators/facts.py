@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
@@ -32,60 +33,88 @@ VETO_WINDOW, CONTEXT_WINDOW = 50, 60
 FACT_SCHEMA = "belief_id string, ts timestamp_ntz, entity string, attribute string, value double, unit string, entity_aliases array<string>, raw_text string"
 
 
-def canonical(word: str) -> str:
-    t = word.lower().strip()
-    single = t[:-1] if len(t) > 3 and t.endswith("s") and not t.endswith(("ss", "is", "us")) else t
-    return rules.ENTITY_ALIASES.get(t) or rules.ENTITY_ALIASES.get(single) or single
+_PLURAL = re.compile(r"(?<=\w{2}[^\Wsiu])s$")
+_WORD = re.compile(r"[A-Za-z]{3,}")
+_BORDER = re.compile(r"(?<=[.!?])\s+|\n{2,}")
 
 
-def _entities(context: str) -> list[str]:
-    found = dict.fromkeys(canonical(w) for w in re.findall(r"[A-Za-z]{3,}", context))
-    return [e for e in found if e not in rules.ENTITY_STOP]
+def canonical(word: str) -> str:
+    """The name that a word goes by: its alias, else its singular, which drops an s behind anything but s, i and u."""
+    low = word.strip().lower()
+    return rules.ENTITY_ALIASES.get(low) or (single := _PLURAL.sub("", low)) and rules.ENTITY_ALIASES.get(single, single)
 
 
-def _attribute(context: str, otherwise: str) -> str:
-    return next((name for name, patterns in rules.ATTRIBUTES if any(re.search(p, context, re.I) for p in patterns)), otherwise)
+class _Places:
+    """The places of a text that one pass finds: which numbers are vetoed, and the sentence around each place."""
 
+    def __init__(self, whole: str):
+        self.whole = whole
+        # a marker vetoes the numbers that begin in the stretch from which it is wholly within the window
+        stretches = [(m.end() - VETO_WINDOW, m.start() + VETO_WINDOW) for p in (HYPOTHETICAL, NEGATIVE) for m in p.finditer(whole)]
+        stretches += [(m.start(), m.end() - 1) for m in RANGE.finditer(whole)]
+        self.starts, self.reach = [], []
+        for a, b in sorted(stretches):
+            self.starts.append(a)
+            self.reach.append(max(b, self.reach[-1] if self.reach else b))
+        borders = [m.span() for m in _BORDER.finditer(whole)]
+        self.begins, self.ends = [0, *(b for _, b in borders)], [*(a for a, _ in borders), len(whole)]
 
-def _near(pattern: re.Pattern[str], whole: str, at: int) -> bool:
-    return pattern.search(whole, max(0, at - VETO_WINDOW), min(len(whole), at + VETO_WINDOW)) is not None
+    def vetoed(self, at: int, end: int) -> bool:
+        i = bisect.bisect_right(self.starts, at)
+        inside = i < len(self.starts) and self.starts[i] < end and self.whole.startswith("$", self.starts[i])
+        return (i > 0 and self.reach[i - 1] >= at) or inside
 
+    def sentence(self, at: int) -> str:
+        i = max(bisect.bisect_right(self.begins, at) - 1, 0)
+        return self.whole[self.begins[i] : self.ends[i]]
 
-def _sentence(whole: str, at: int) -> str:
-    start = max((m.end() for m in re.finditer(r"(?<=[.!?])\s+|\n{2,}", whole[:at])), default=0)
-    end = re.search(r"(?<=[.!?])\s+|\n{2,}", whole[at:])
-    return whole[start : at + end.start()] if end else whole[start:]
+    def around(self, m: re.Match[str]) -> str:
+        return self.whole[max(0, m.start() - CONTEXT_WINDOW) : m.end() + CONTEXT_WINDOW]
 
 
-def extract(whole: str) -> list[dict]:
-    """Facts of a text: money that was spent or earned, durations, percentages and counts.
+def _attribute(context: str, otherwise: str) -> str:
+    return next((name for name, patterns in rules.ATTRIBUTES if any(re.search(p, context, re.I) for p in patterns)), otherwise)
 
-    A sum within a price range, or with hypothetical or negative words near, is not a fact.
-    """
-    found = []
-    ranges = [m.span() for m in RANGE.finditer(whole)]
 
-    def add(m: re.Match[str], value: float, unit: str, attribute: str, context: str, entity: str | None = None) -> None:
-        names = _entities(context)
-        found.append({"entity": entity or (names[0] if names else "unknown"), "attribute": attribute, "value": value, "unit": unit, "entity_aliases": names, "raw_text": m[0]})
+def _fact(m: re.Match[str], value: float, unit: str, attribute: str, context: str, entity: str | None = None) -> dict:
+    names = [e for e in dict.fromkeys(map(canonical, _WORD.findall(context))) if e not in rules.ENTITY_STOP]
+    return {"entity": entity or next(iter(names), "unknown"), "attribute": attribute, "value": value, "unit": unit, "entity_aliases": names, "raw_text": m[0]}
 
+
+def _money(whole: str, places: _Places) -> Iterator[dict]:
     for m in CURRENCY.finditer(whole):
-        if any(m.start() < b and m.end() > a for a, b in ranges) or _near(HYPOTHETICAL, whole, m.start()) or _near(NEGATIVE, whole, m.start()):
-            continue
-        context = _sentence(whole, m.start())
-        add(m, float((m["amt"] or m["amt2"]).replace(",", "")), "USD", _attribute(context, "expense"), context)
+        if not places.vetoed(m.start(), m.end()):
+            context = places.sentence(m.start())
+            yield _fact(m, float((m["amt"] or m["amt2"]).replace(",", "")), "USD", _attribute(context, "expense"), context)
+
+
+def _durations(whole: str, places: _Places) -> Iterator[dict]:
     for m in DURATION.finditer(whole):
         unit = m["unit"].lower().rstrip("s")
-        add(m, float(m["num"]), UNIT_NAMES.get(unit, unit), "duration", whole[max(0, m.start() - CONTEXT_WINDOW) : m.end() + CONTEXT_WINDOW])
+        yield _fact(m, float(m["num"]), UNIT_NAMES.get(unit, unit), "duration", places.around(m))
+
+
+def _percentages(whole: str, places: _Places) -> Iterator[dict]:
     for m in PERCENT.finditer(whole):
-        context = whole[max(0, m.start() - CONTEXT_WINDOW) : m.end() + CONTEXT_WINDOW]
-        add(m, float(m["num"]), "percent", _attribute(context, "value"), context)
+        context = places.around(m)
+        yield _fact(m, float(m["num"]), "percent", _attribute(context, "value"), context)
+
+
+def _counts(whole: str, places: _Places) -> Iterator[dict]:
     for m in COUNT.finditer(whole):
-        if re.search(r"\$|usd|dollar", m[0], re.I) or whole[max(0, m.start() - 1) : m.start()] in "$.," and m.start() or TIME_UNITS.match(m["thing"]):
-            continue
-        value = rules.NUMBER_WORDS.get(m["num"].lower()) or float(m["num"])
-        add(m, float(value), "item", "count", _sentence(whole, m.start()), canonical(m["thing"]))
-    return found
+        money = re.search(r"\$|usd|dollar", m[0], re.I) or (m.start() and whole[m.start() - 1] in "$.,")
+        if not money and not TIME_UNITS.match(m["thing"]):
+            value = rules.NUMBER_WORDS.get(m["num"].lower()) or float(m["num"])
+            yield _fact(m, float(value), "item", "count", places.sentence(m.start()), canonical(m["thing"]))
+
+
+def extract(whole: str) -> list[dict]:
+    """Facts of a text: money that was spent or earned, durations, percentages and counts.
+
+    A sum within a price range, or with hypothetical or negative words near, is not a fact. Linear in the text.
+    """
+    places = _Places(whole)
+    return [fact for kind in (_money, _durations, _percentages, _counts) for fact in kind(whole, places)]
 
 
 def extracted(beliefs: DataFrame) -> DataFrame:

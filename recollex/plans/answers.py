@@ -49,6 +49,13 @@ def never_did(subjects: DataFrame, events: DataFrame, key: str) -> DataFrame:
     return subjects.join(events.select(key).distinct(), key, "left_anti")
 
 
+def latest(rows: DataFrame, *by: str) -> DataFrame:
+    """Each group's latest row by (asserted_at, belief_id), with n, the rows that were searched; combined before the shuffle."""
+    columns = [c for c in rows.columns if c not in by]
+    last = F.max_by(F.struct(*columns), F.struct("asserted_at", "belief_id"))
+    return rows.groupBy(*by).agg(last.alias("last"), F.count(F.lit(1)).alias("n")).select(*by, "last.*", "n")
+
+
 def contrast(rows: DataFrame, k: int, order: str, *by: str) -> DataFrame:
     """The k latest rows of each group."""
     at = F.row_number().over(W.partitionBy(*by).orderBy(F.desc(order), "belief_id"))
@@ -90,15 +97,15 @@ def themed(rows: DataFrame, words: list[str]) -> DataFrame:
 
 # ---- the whole retrieval pipeline ----
 
-def retrieve(docs: DataFrame, key: str, question: str, vectors: DataFrame, query_vector: DataFrame, pairs: DataFrame, k: int = 20, mmr_k: int = 30, cap: int = 5, pool: int = 2000) -> DataFrame:
+def retrieve(docs: DataFrame, key: str, question: str, vectors: DataFrame, query_vector: DataFrame, attributes: DataFrame, k: int = 20, mmr_k: int = 30, cap: int = 5, pool: int = 2000) -> DataFrame:
     """(id, rank, score) of the k answers: fused candidates, walked over the attribute graph, diversified.
 
-    vectors: key, session_id, embedding; pairs: edges of the graph over the keys. What a walk and the diversification see
+    vectors: key, session_id, embedding; attributes: node (the key), channel, value of the graph. What a walk and the diversification see
     is bounded by the pool.
     """
     fused = retrieval.hybrid(docs, key, question, vectors, query_vector, pool=pool)
     start = fused.select(F.lit(0).cast("long").alias("query_id"), F.col(key).cast("long").alias("node"), "score")
-    walked = graph_ops.songline_walk(start, pairs).orderBy(F.desc("score"), "node").limit(pool)
+    walked = graph_ops.songline_walk(start, attributes).orderBy(F.desc("score"), "node").limit(pool)
     rows = walked.join(vectors.select(F.col(key).cast("long").alias("node"), "session_id", "embedding"), "node")
     picked = retrieval.mmr(rows.select("query_id", F.col("node").alias("id"), "session_id", "score", "embedding"), mmr_k, cap=cap)
     return picked.where(F.col("rank") <= k).select("id", "rank", F.col("mmr").alias("score"))

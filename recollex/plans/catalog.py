@@ -110,10 +110,10 @@ def q_semantic_floor(spark, d):
 
 @query(_BM25 + """, q2 AS (SELECT embedding AS q FROM embeddings WHERE vec_id = 0), v AS (SELECT vec_id AS doc_id, list_cosine_similarity(embedding::DOUBLE[], q::DOUBLE[]) AS score FROM embeddings, q2),
 r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0 UNION ALL SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) FROM v)
-SELECT doc_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM r WHERE rank <= 300 GROUP BY doc_id ORDER BY sum(1.0 / (60 + rank)) DESC, doc_id LIMIT 50""")
+SELECT doc_id, round(sum(1.0 / (60 + rank)), 9) AS score FROM r WHERE rank <= 300 GROUP BY doc_id ORDER BY sum(1.0 / (60 + rank)) DESC, doc_id LIMIT 2000""")
 def q_rrf_fusion(spark, d):
     vectors = load(spark, d, "embeddings").withColumnRenamed("vec_id", "doc_id")
-    found = retrieval.hybrid(load(spark, d, "documents"), "doc_id", QUESTION, vectors, _q(spark, d), 300, 50)
+    found = retrieval.hybrid(load(spark, d, "documents"), "doc_id", QUESTION, vectors, _q(spark, d))
     return found.select("doc_id", F.round("score", 9).alias("score"))
 
 
@@ -150,22 +150,25 @@ def q_retrieval_pipeline(spark, d):
     docs = load(spark, d, "documents")
     vectors = load(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("label").alias("session_id"), "embedding")
     attributes = docs.select(F.col("doc_id").alias("node"), F.explode(F.array(F.struct(F.lit("entity").alias("channel"), F.col("source").alias("value")), F.struct(F.lit("speaker").alias("channel"), F.col("lang").alias("value")))).alias("p"))
-    pairs = graph.edges(attributes.select("node", "p.channel", "p.value"))
-    return answers.retrieve(docs, "doc_id", QUESTION, vectors, _q(spark, d), pairs, pool=200)
+    return answers.retrieve(docs, "doc_id", QUESTION, vectors, _q(spark, d), attributes.select("node", "p.channel", "p.value"))
 
 
-@query()
-def q_songline_walk(spark, d):
-    pairs = graph.edges(_order_attributes(spark, d))
-    ranked = load(spark, d, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(5).select(F.lit(0).cast("long").alias("query_id"), F.col("o_orderkey").alias("node"), (F.col("o_totalprice") / 1e6).alias("score"))
-    return graph.songline_walk(ranked, pairs)
+#: One statement for each label of the rule banks, in our own words, so that each of them fires on the driver's tables too.
+STATEMENTS = [
+    "My doctor told me to rest", "I saw the parade myself", "I heard that it rained", "She must be at home by now", "It is probably fine", "It is like riding a bike", "The sky",
+    "I've never been to Rome", "I no longer smoke", "I haven't finished it yet", "I am not a doctor", "I am a doctor", "That is not it",
+    "I stopped running", "I quit my job", "I gave up coffee", "I started running again", "I went back to tea", "I finally settled on the blue one", "We decided on Lisbon", "I switched to tea", "I moved to Berlin instead",
+    "I plan to learn Dutch", "I am thinking of moving", "I joined the choir", "I run every morning", "I usually walk", "I also bought a lamp", "I replaced my laptop", "actually I prefer tea now", "I resumed the lessons", "We arranged to meet on Mondays",
+    "I changed my mind about it", "In addition, I got a chair", "I returned to the old plan", "I don't eat meat anymore", "I used to live in Oslo",
+]
+_BANKS = {"supersession": rules.SUPERSESSION, "additive": rules.ADDITIVE, "cessation": rules.CESSATION, "resumption": rules.RESUMPTION, "settlement": rules.SETTLEMENT, "arrangement": rules.ARRANGEMENT, "intent": rules.INTENT, "initiation": rules.INITIATION, "regime": rules.REGIME, "reversal": rules.REVERSAL}
+_SAID = "said AS (SELECT conv_id, turn, text FROM conversations UNION ALL SELECT -1 - i, 0, s[i + 1] FROM (SELECT " + f"[{sql_list(STATEMENTS)}] AS s), range({len(STATEMENTS)}) r(i))"
 
 
-@query()
-def q_narrative_walk(spark, d):
-    nodes = load(spark, d, "orders").select(F.col("o_orderkey").alias("node"), (F.col("o_orderstatus") == "F").alias("on_theme"))
-    anchors = load(spark, d, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(3).select(F.col("o_orderkey").alias("node"))
-    return graph.narrative_walk(graph.edges(_order_attributes(spark, d)), nodes, anchors)
+def _said(spark, d):
+    """The turns, and each statement as a conversation of its own."""
+    extra = spark.createDataFrame([(-1 - i, 0, s) for i, s in enumerate(STATEMENTS)], "conv_id long, turn long, text string")
+    return load(spark, d, "conversations").select("conv_id", "turn", "text").unionByName(extra)
 
 
 def _sql_pramana() -> str:
@@ -175,27 +178,25 @@ def _sql_pramana() -> str:
         plain = [p.replace(r"heard(?!\s+(?:that|from))", "heard") for p in patterns]
         column = r"regexp_replace(text, '(?i)heard(\s+(?:that|from))\b', 'x\1', 'g')" if plain != patterns else "text"
         whens.append(f"WHEN {rules.sql_matches(column, plain)} THEN '{name}'")
-    return f"SELECT doc_id, CASE {' '.join(whens)} ELSE 'unknown' END AS pramana FROM documents"
+    return f"WITH {_SAID} SELECT conv_id, turn, CASE {' '.join(whens)} ELSE 'unknown' END AS pramana FROM said"
 
 
 @query(_sql_pramana())
 def q_pramana_tag(spark, d):
-    return load(spark, d, "documents").select("doc_id", text.pramana(F.col("text")).alias("pramana"))
+    return _said(spark, d).select("conv_id", "turn", text.pramana(F.col("text")).alias("pramana"))
 
 
 _CUE = " OR ".join(f"contains(lower(text), '{c.replace(chr(39), chr(39) * 2)}')" for c in rules.NEGATION_CUES)
 
 
-@query(f"SELECT conv_id, turn, CASE WHEN NOT ({_CUE}) THEN 'none' ELSE {rules.sql_label('text', rules.NEGATION, chr(39) + 'unknown' + chr(39))} END AS kind FROM conversations")
+@query(f"WITH {_SAID} SELECT conv_id, turn, CASE WHEN NOT ({_CUE}) THEN 'none' ELSE {rules.sql_label('text', rules.NEGATION, chr(39) + 'unknown' + chr(39))} END AS kind FROM said")
 def q_negation_kind(spark, d):
-    return load(spark, d, "conversations").select("conv_id", "turn", text.negation_kind(F.col("text")).alias("kind"))
+    return _said(spark, d).select("conv_id", "turn", text.negation_kind(F.col("text")).alias("kind"))
 
 
-@query(f"SELECT conv_id, turn, {rules.sql_matches('text', rules.CESSATION)} AS cessation, {rules.sql_matches('text', rules.RESUMPTION)} AS resumption, {rules.sql_matches('text', rules.SETTLEMENT)} AS settlement, {rules.sql_matches('text', rules.ARRANGEMENT)} AS arrangement, {rules.sql_matches('text', rules.INTENT)} AS intent, {rules.sql_matches('text', rules.REGIME)} AS regime FROM conversations")
+@query(f"WITH {_SAID} SELECT conv_id, turn, " + ", ".join(f"coalesce({rules.sql_matches('text', bank)}, false) AS {name}" for name, bank in _BANKS.items()) + " FROM said")
 def q_supersession_marker(spark, d):
-    c = F.col("text")
-    banks = {"cessation": rules.CESSATION, "resumption": rules.RESUMPTION, "settlement": rules.SETTLEMENT, "arrangement": rules.ARRANGEMENT, "intent": rules.INTENT, "regime": rules.REGIME}
-    return load(spark, d, "conversations").select("conv_id", "turn", *[rules.matches(c, b).alias(n) for n, b in banks.items()])
+    return _said(spark, d).select("conv_id", "turn", *[F.coalesce(rules.matches(F.col("text"), b), F.lit(False)).alias(n) for n, b in _BANKS.items()])
 
 
 @query()
@@ -205,7 +206,7 @@ def q_statement_filter(spark, d):
 
 @query()
 def q_question_routes(spark, d):
-    q = F.concat(F.element_at(F.array(*map(F.lit, ["how much did i spend on ", "have i ever tried ", "how has my thinking changed about ", "what reminds me of ", "how many times per month did i see ", "what is "])), (F.pmod("turn", F.lit(6)) + 1).cast("int")), F.substring("text", 1, 30), F.lit("?"))
+    q = F.concat(F.element_at(F.array(*map(F.lit, ["how much did i spend on ", "have i ever tried ", "how has my thinking changed about ", "what reminds me of ", "how many times per month did i see ", "what is "])), (F.pmod("turn", F.lit(6)) + 1).cast("int")), F.col("text"), F.lit("?"))
     return load(spark, d, "conversations").withColumn("q", q).select("conv_id", "turn", router.route(F.col("q")).alias("route"), router.aggregation(F.col("q")).alias("op"), F.size(router.hints(F.col("q"))).alias("hints"))
 
 
@@ -227,9 +228,9 @@ def q_fact_aggregates(spark, d):
     return rows.select("entity", F.round("sum", 2).alias("sum"), "count", F.round("average", 4).alias("average"), "max", "min", F.round("difference", 4).alias("difference"), F.size("contributing").alias("receipts"))
 
 
-@query(_FACTS + ", n AS (SELECT DISTINCT belief_id, value, unnest(list_prepend(entity, entity_aliases)) AS hint FROM f) SELECT hint, count(*)::BIGINT AS n, round(sum(value), 2) AS total FROM n WHERE hint IN (SELECT lower(p_name[1:strpos(p_name, ' ') - 1]) FROM part WHERE p_partkey <= 5 UNION SELECT p_brand FROM part WHERE p_partkey <= 5) GROUP BY hint")
+@query(_FACTS + ", n AS (SELECT DISTINCT belief_id, value, unnest(list_prepend(entity, entity_aliases)) AS hint FROM f) SELECT hint, count(*)::BIGINT AS n, round(sum(value), 2) AS total FROM n WHERE hint IN (SELECT lower(p_name[1:strpos(p_name, ' ') - 1]) FROM part UNION SELECT p_brand FROM part) GROUP BY hint")
 def q_fact_alias_lookup(spark, d):
-    part = load(spark, d, "part").where("p_partkey <= 5")
+    part = load(spark, d, "part")
     hints = part.select(F.lower(F.substring_index("p_name", " ", 1)).alias("hint")).union(part.select("p_brand")).distinct()
     return facts.by_alias(_facts(spark, d), hints).groupBy("hint").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"))
 
@@ -319,7 +320,43 @@ def q_graph_edges_capped(spark, d):
 two AS (SELECT DISTINCT n.t FROM n JOIN one ON n.s = one.t), u AS (SELECT node, 0 AS hops FROM z UNION ALL SELECT t, 1 FROM one UNION ALL SELECT t, 2 FROM two) SELECT node, min(hops)::INTEGER AS hops FROM u GROUP BY node""")
 def q_two_hop(spark, d):
     anchors = load(spark, d, "orders").where("o_orderkey <= 20").select(F.col("o_orderkey").alias("node"))
-    return graph.two_hop(graph.edges(_order_attributes(spark, d)), anchors)
+    return graph.two_hop(_order_attributes(spark, d), anchors)
+
+
+def _walk_sql() -> str:
+    """The walk's three levels, one after another."""
+    parts = [_EDGE + ", n AS (SELECT a AS s, b AS t, channel, round(weight, 9) AS weight FROM e UNION ALL SELECT b, a, channel, round(weight, 9) FROM e)",
+             "r AS (SELECT o_orderkey AS node, o_totalprice / 1e6 AS score, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS pos FROM orders QUALIFY pos <= 5)",
+             "f0 AS (SELECT node AS anchor, node, 0.0::DOUBLE AS path, []::VARCHAR[] AS channels FROM r WHERE pos <= 3)"]
+    for i in range(1, graph.HOPS + 1):
+        met = " UNION ALL ".join(f"SELECT anchor, node FROM f{j}" for j in range(i))
+        parts.append(f"o{i} AS (SELECT anchor, s AS src, t, weight, path, channels, channel, weight + CASE WHEN list_contains(channels, channel) THEN 0.0 ELSE 0.5 END AS value FROM f{i - 1} JOIN n ON s = node WHERE (anchor, t) NOT IN ({met}) QUALIFY row_number() OVER (PARTITION BY anchor, s, t ORDER BY value DESC, channel) = 1)")
+        parts.append(f"b{i} AS (SELECT *, round(path + weight, 9) AS total FROM o{i} QUALIFY row_number() OVER (PARTITION BY anchor, src ORDER BY value DESC, t) <= {graph.BRANCH})")
+        parts.append(f"f{i} AS (SELECT anchor, t AS node, total AS path, list_append(channels, channel) AS channels FROM b{i} QUALIFY row_number() OVER (PARTITION BY anchor, t ORDER BY total DESC, src) = 1)")
+    every = " UNION ALL ".join(f"SELECT node, path FROM f{j}" for j in range(1, graph.HOPS + 1))
+    return ", ".join(parts) + f", best AS (SELECT node, max(path) AS path FROM ({every}) GROUP BY node) SELECT 0::BIGINT AS query_id, node, round(coalesce(score, 0) + {graph.BONUS} * coalesce(path, 0), 9) AS score, path IS NOT NULL AS walked FROM r FULL JOIN best USING (node)"
+
+
+@query(_walk_sql())
+def q_songline_walk(spark, d):
+    ranked = load(spark, d, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(5).select(F.lit(0).cast("long").alias("query_id"), F.col("o_orderkey").alias("node"), (F.col("o_totalprice") / 1e6).alias("score"))
+    return graph.songline_walk(ranked, _order_attributes(spark, d)).withColumn("score", F.round("score", 9))
+
+
+def _narrative_sql() -> str:
+    parts = [_EDGE + ", n AS (SELECT a AS s, b AS t, channel, round(weight, 9) AS weight FROM e UNION ALL SELECT b, a, channel, round(weight, 9) FROM e)",
+             "x AS (SELECT s, t, weight FROM n JOIN orders ON t = o_orderkey WHERE o_orderstatus = 'F' OR channel <> 'temporal')", "l0 AS (SELECT o_orderkey AS node FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 3)"]
+    for i in range(1, 5):
+        met = " UNION ALL ".join(f"FROM l{j}" for j in range(i))
+        parts.append(f"l{i} AS (SELECT t AS node FROM x JOIN l{i - 1} ON s = node WHERE t NOT IN ({met}) GROUP BY t ORDER BY max(weight) DESC, t LIMIT (SELECT greatest(8, count(*) // 4) FROM orders))")
+    return ", ".join(parts) + " " + " UNION ALL ".join(f"SELECT node, {j}::INTEGER AS hops FROM l{j}" for j in range(5))
+
+
+@query(_narrative_sql())
+def q_narrative_walk(spark, d):
+    nodes = load(spark, d, "orders").select(F.col("o_orderkey").alias("node"), (F.col("o_orderstatus") == "F").alias("on_theme"))
+    anchors = load(spark, d, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(3).select(F.col("o_orderkey").alias("node"))
+    return graph.narrative_walk(_order_attributes(spark, d), nodes, anchors)
 
 
 @query()
@@ -383,7 +420,8 @@ def q_belief_fold(spark, d):
 
 @query("SELECT user_id, arg_max(event_type, (ts, event_id)) AS status, max(ts) AS at FROM events GROUP BY user_id")
 def q_latest_state(spark, d):
-    return load(spark, d, "events").groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("status"), F.max("ts").alias("at"))
+    rows = load(spark, d, "events").select("user_id", F.col("event_type").alias("status"), F.col("ts").alias("asserted_at"), F.col("event_id").alias("belief_id"))
+    return answers.latest(rows, "user_id").select("user_id", "status", F.col("asserted_at").alias("at"))
 
 
 _CHAIN = "WITH p AS (SELECT user_id, event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events WHERE event_type = 'purchase')"
@@ -485,10 +523,10 @@ def q_pair_detect_stub(spark, d):
 @query()
 def q_pair_detect_full(spark, d):
     rows = load(spark, d, "conversations").select("conv_id", "turn", "text")
-    pairs = detectors.blocked_pairs(rows, "turn", "conv_id")
+    pairs = detectors.word_pairs(rows, "turn", "conv_id")
     one = rows.select("conv_id", F.col("turn").alias("a"), F.col("text").alias("x"))
     two = rows.select("conv_id", F.col("turn").alias("b"), F.col("text").alias("y"))
-    verdict = detectors.STACKS["revision"](F.col("x"), F.col("y"))
+    verdict = detectors.STACKS["full"](F.col("x"), F.col("y"))
     return pairs.join(one, ["conv_id", "a"]).join(two, ["conv_id", "b"]).withColumn("v", verdict).select("conv_id", "a", "b", "v.label", "v.confidence")
 
 
@@ -501,7 +539,8 @@ def q_absence_exhaustive(spark, d):
 
 @query("SELECT user_id, (arg_max(event_type, (ts, event_id)) <> 'error') AS still, count(*)::BIGINT AS searched_n FROM events GROUP BY user_id")
 def q_absence_latest(spark, d):
-    return load(spark, d, "events").groupBy("user_id").agg((F.max_by("event_type", F.struct("ts", "event_id")) != "error").alias("still"), F.count(F.lit(1)).alias("searched_n"))
+    rows = load(spark, d, "events").select("user_id", F.col("event_type").alias("status"), F.col("ts").alias("asserted_at"), F.col("event_id").alias("belief_id"))
+    return answers.latest(rows, "user_id").select("user_id", (F.col("status") != "error").alias("still"), F.col("n").alias("searched_n"))
 
 
 @query("SELECT o_custkey, o_orderkey AS belief_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey)::INTEGER AS rank FROM orders QUALIFY rank <= 3")
@@ -544,15 +583,15 @@ def q_origin(spark, d):
 
 
 # ---- metrics ----
-_RANKED = "WITH q AS (SELECT vec_id AS query_id, label AS gold, embedding AS e FROM embeddings WHERE vec_id < 10), s AS (SELECT query_id, gold, vec_id, v.label, row_number() OVER (PARTITION BY query_id ORDER BY list_cosine_similarity(embedding::DOUBLE[], e::DOUBLE[]) DESC, vec_id) AS rank FROM q, embeddings v WHERE vec_id <> query_id)"
+_RANKED = "WITH q AS (SELECT vec_id AS query_id, label AS gold, embedding AS e FROM embeddings WHERE vec_id % 100 = 0), s AS (SELECT query_id, gold, vec_id, v.label, row_number() OVER (PARTITION BY query_id ORDER BY list_cosine_similarity(embedding::DOUBLE[], e::DOUBLE[]) DESC, vec_id) AS rank FROM q, embeddings v WHERE vec_id <> query_id)"
 
 
 def _ranked(spark, d):
     e = load(spark, d, "embeddings")
-    q = e.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     scored = e.crossJoin(F.broadcast(q)).where("vec_id <> query_id").withColumn("score", retrieval.cosine(F.col("embedding"), F.col("q")))
     ranked = retrieval.ranked(scored, "vec_id", 1 << 30, "query_id").select("query_id", F.col("label").cast("string").alias("session_id"), "vec_id", "rank")
-    return ranked, e.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("label").cast("string").alias("session_id"))
+    return ranked, e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").cast("string").alias("session_id"))
 
 
 @query(_RANKED + ", b AS (SELECT query_id, gold, label, min(rank) AS r FROM s GROUP BY ALL), c AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY r) AS i FROM b) SELECT query_id, max((label = gold AND i <= 3)::INTEGER)::DOUBLE AS recall_any, max((label = gold AND i <= 3)::INTEGER)::DOUBLE AS recall_all FROM c GROUP BY query_id")
@@ -702,7 +741,7 @@ def q_learned_relation(spark, d):
 
 @query()
 def q_bootstrap_interval(spark, d):
-    return metrics.bootstrap(load(spark, d, "labels").select(F.col("quality").cast("double").alias("q")), "q", 200)
+    return metrics.bootstrap(load(spark, d, "labels").select("doc_id", F.col("quality").cast("double").alias("q")), "q", "doc_id")
 
 
 @query("SELECT lang, round(avg(quality), 6) AS mean, count(quality)::BIGINT AS n FROM documents JOIN labels USING (doc_id) GROUP BY ROLLUP (lang)")

@@ -73,7 +73,14 @@ def test_graph(spark):
     pairs = graph.edges(rows).collect()
     assert [(p.a, p.b) for p in pairs] == [(1, 2)] and pairs[0].weight == pytest.approx(0.5)
     assert graph.average_linkage(np.array([[1.0, 0], [0.99, 0.1], [0, 1]]), 0.65) == [0, 0, None]
-    assert graph.walk_one(1, {1: [(2, 0.5, "e")], 2: [(3, 0.5, "e"), (4, 0.2, "t")]}, 2, 1) == [(2, 0.5), (4, 0.7)]
+    every = graph.both_ways(graph.edges(rows))
+    near = graph.neighbours(rows, rows.where("node = 1").select("node"))
+    assert [tuple(r) for r in near.collect()] == [tuple(r) for r in every.where("src = 1").collect()]
+    chain = spark.createDataFrame([(1, "entity", "x"), (2, "entity", "x"), (2, "entity", "y"), (3, "entity", "y"), (2, "topic", "z"), (4, "topic", "z"), (5, "topic", "z")], "node long, channel string, value string")
+    ranked = spark.createDataFrame([(0, 1, 0.5)], "query_id long, node long, score double")
+    got = {r.node: (round(r.score, 6), r.walked) for r in graph.songline_walk(ranked, chain, hops=2, branch=1).collect()}
+    assert got == {1: (0.5, False), 2: (0.025, True), 4: (round(0.05 * (0.5 + 1 / np.log2(5)), 6), True)}  # the new channel leads on from 2
+    assert {r.node: r.hops for r in graph.narrative_walk(chain, chain.select("node", F.lit(True).alias("on_theme")).distinct(), ranked.select("node"), 2).collect()} == {1: 0, 2: 1, 3: 2, 4: 2, 5: 2}
 
 
 def test_absence(spark):
