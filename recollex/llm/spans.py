@@ -11,8 +11,9 @@ holds MIN_WORDS words or more is hashed from its words (A-Z in lower case, white
 places of those that occur twice or more are joined. Of each repeated span the place of least (doc_id, sentence) is the
 first; every sentence that any other place covers is removed.
 
-Counting combines before it shuffles, and a bitmap of hashed values, of bounded size, keeps spans that occur
-once, and documents that lose nothing, out of the later shuffles; the joins behind it are exact.
+Counting, and finding first places, combine before they shuffle, so that a span which a third of all documents hold is one
+row a task; places meet the first ones in a plain join, whose large partitions Spark splits. A bitmap of hashed values, of
+bounded size, keeps spans that occur once, and documents that lose nothing, out of the later shuffles.
 
 Defined results: null and empty texts have no sentences; a null text stays null. A null doc_id takes no part: its text
 is left as it is. Rows that share a doc_id are one document: places in the same position of such rows count as one place,
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recollex.llm import kernels
-from recollex.llm.common import bitmap, may_be_in, table, written
+from recollex.llm.common import bitmap, delete, may_be_in, table, written
 
 RUN, MIN_WORDS, GAP = 3, 25, 7
 _ENDS = np.zeros(256, dtype=bool)
@@ -133,11 +134,13 @@ def repeated_places(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
     spans = written(rows.mapInArrow(lambda it: kernels.tidy(_spans(it)), "span long, doc long, place int, until int"), "spans")
     counted = written(spans.groupBy("span").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("span"), "repeated")
-    found = may_be_in(spans, "span", bitmap(counted, "span")).join(counted, "span")
-    found = written(found.distinct(), "places")
-    firsts = found.groupBy("span").agg(F.min(F.struct("doc", "place")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    found = written(may_be_in(spans, "span", bitmap(counted, "span")), "places")
+    delete(spans, counted)
+    at = F.struct("doc", "place")
+    firsts = found.groupBy("span").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first < last").select("span", "first")
     later = found.join(firsts, "span").where((F.col("doc") != F.col("first.doc")) | (F.col("place") != F.col("first.place")))
     later = written(later.groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("place", "until"))).alias("places")), "later")
+    delete(found)
     return later, later.select("doc")
 
 
@@ -164,39 +167,3 @@ def digest(c: Column) -> Column:
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_sentences", "n_removed", "words_removed", "removed", digest(F.col("cleaned")).alias("cleaned_sha256"))
-
-
-def brute_force(rows: list[tuple[int | None, str | None]]) -> dict[int, set[int]]:
-    """doc_id: the sentences it loses, by plain Python on small tables; for tests."""
-    import re
-
-    places: dict[tuple[str, ...], set[tuple[int, int]]] = {}
-    for doc, text in rows:
-        if doc is None or text is None:
-            continue
-        words, stops, hashes = [], [], []
-        for line in text.split("\n"):
-            for word in re.findall(r"[^\x20\x09-\x0D]+", line):
-                words.append(re.sub("[A-Z]", lambda m: m[0].lower(), word))
-                stops.append(bool(re.search(r"[.!?,;:][\"')\]]?$", word)))
-                raw, off = kernels.text_bytes(pa.array([word]))
-                hashes.append(int(kernels.span_hashes(raw, off[:1], off[1:], lower=True)[0]))
-            if stops:
-                stops[-1] = True
-        ends = {i for i, stop in enumerate(stops) if stop}
-        for i in range(len(words) - GAP + 1):
-            if not any(stops[i : i + GAP]):
-                ends.update(j for j in range(i, i + GAP) if hashes[j] == min(hashes[i : i + GAP]))
-        at = [0, *(i + 1 for i in sorted(ends))]
-        cut = [words[i:j] for i, j in zip(at, at[1:], strict=False)]
-        for i in range(len(cut) - RUN + 1):
-            until = next((j for j in range(i + RUN, len(cut) + 1) if sum(map(len, cut[i:j])) >= MIN_WORDS), 0)
-            if until:
-                places.setdefault(tuple(" ".join(s) for s in cut[i:until]), set()).add((doc, i))
-    lost: dict[int, set[int]] = {}
-    for span, found in places.items():
-        for doc, i in sorted(found)[1:]:
-            lost.setdefault(doc, set()).update(range(i, i + len(span)))
-    return lost
-
-
