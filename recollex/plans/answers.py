@@ -12,7 +12,7 @@ from recollex.functions import text
 from recollex.operators import beliefs as state_ops
 from recollex.operators import facts as fact_ops
 from recollex.operators import graph as graph_ops
-from recollex.operators import retrieval
+from recollex.operators import filters, retrieval
 from recollex.plans import router
 
 FRAME_BONUS, OVERLAP_COST = 0.15, 0.5
@@ -20,28 +20,39 @@ FRAME_BONUS, OVERLAP_COST = 0.15, 0.5
 
 # ---- absence ----
 
-def mentions(rows: DataFrame, locus: Column) -> DataFrame:
-    """rows that mention all stemmed words of the locus, with `positive`: no negation of any kind."""
-    wanted = text.locus_tokens(locus)
-    found = rows.where((F.size(wanted) > 0) & (F.size(F.array_except(wanted, text.locus_tokens(F.col("text")))) == 0))
-    return found.withColumn("positive", text.negation_kind(F.col("text")) == "none")
+def mentions(rows: DataFrame, questions: DataFrame) -> DataFrame:
+    """(question_id, scope, locus, belief columns, positive) of rows that mention all stemmed words of a question's locus;
+    positive: no negation of any kind. Texts are stemmed once and meet the questions by stem."""
+    asked = questions.withColumn("_wanted", text.locus_tokens(F.col("locus"))).where(F.size("_wanted") > 0)
+    asked = asked.select("question_id", "scope", "locus", F.size("_wanted").alias("_n"), F.explode("_wanted").alias("_stem"))
+    columns = [c for c in rows.columns if c not in ("question_id", "scope", "locus")]
+    each = rows.select(F.struct(*columns).alias("_row"), F.explode(text.locus_tokens(F.col("text"))).alias("_stem"))
+    hit = each.join(asked, "_stem").groupBy("question_id", "scope", "locus", "_n", "_row").agg(F.count(F.lit(1)).alias("_hits")).where("_hits = _n")
+    return hit.select("question_id", "scope", "locus", "_row.*").withColumn("positive", text.negation_kind(F.col("text")) == "none")
 
 
-def absence_verdicts(rows: DataFrame, questions: DataFrame) -> DataFrame:
-    """question_id, scope, verdict, latest_id and searched_n: every belief is searched, and the number says so.
+def absence_verdicts(rows: DataFrame, questions: DataFrame, most: int = 3) -> DataFrame:
+    """question_id, scope, verdict, evidence_id, contrast_ids and searched_n: every belief is searched, and the number says so.
 
-    questions: question_id, scope, locus; bounded, as they come from a user. ever and identity are refuted by any
-    positive mention, yet and open by the latest, and for still the latest mention of either kind decides.
+    rows: belief_id, text, asserted_at; questions: question_id, scope, locus. A mention settles a question if it is
+    positive and, by scope, actual (ever), not about someone else (identity) or a commitment (yet, open); for still the
+    latest mention alone decides. The evidence is the first settling mention for ever and identity, else the latest; of
+    an absence it is the latest negated mention, and contrast_ids are the latest `most` mentions.
     """
     n = rows.agg(F.count(F.lit(1)).alias("searched_n"))
-    found = mentions(rows.crossJoin(F.broadcast(questions)), F.col("locus"))
-    latest = found.groupBy("question_id").agg(
-        F.max_by("positive", F.struct("asserted_at", "belief_id")).alias("last_positive"), F.max_by("belief_id", F.struct("asserted_at", "belief_id")).alias("latest_id"),
-        F.bool_or("positive").alias("any_positive"),
+    c, scope, when = F.col("text"), F.col("scope"), F.struct("asserted_at", "belief_id")
+    fits = F.when(scope == "ever", filters.actual(c)).when(scope == "identity", ~filters.of_someone_else(c, F.col("locus"))).when(scope.isin("yet", "open"), filters.commits(c)).otherwise(F.lit(True))
+    found = mentions(rows, questions).withColumn("settles", F.col("positive") & fits)
+    settling = F.when(F.col("settles"), when)
+    of = found.groupBy("question_id").agg(
+        F.min_by("belief_id", settling).alias("first"), F.max_by("belief_id", settling).alias("last"), F.max_by("belief_id", F.when(~F.col("positive"), when)).alias("denied"),
+        F.max_by("positive", when).alias("so_now"), F.slice(F.sort_array(F.collect_list(when), asc=False), 1, most).alias("latest"),
     )
-    present = F.when(F.col("scope") == "still", F.coalesce("last_positive", F.lit(False))).otherwise(F.coalesce("any_positive", F.lit(False)))
-    verdict = F.when(present, "present").otherwise("absent")
-    return questions.join(latest, "question_id", "left").crossJoin(n).select("question_id", "scope", verdict.alias("verdict"), "latest_id", "searched_n")
+    present = F.coalesce(F.when(scope == "still", F.col("so_now")).otherwise(F.col("last").isNotNull()), F.lit(False))
+    evidence = F.when(present, F.when(scope.isin("ever", "identity"), F.col("first")).otherwise(F.col("last"))).otherwise(F.col("denied"))
+    contrast_ids = F.when(present, F.array(evidence)).otherwise(F.coalesce(F.transform("latest", lambda m: m["belief_id"]), F.array().cast("array<string>")))
+    rows = questions.join(of, "question_id", "left").crossJoin(F.broadcast(n))  # n is one row
+    return rows.select("question_id", "scope", F.when(present, "present").otherwise("absent").alias("verdict"), evidence.alias("evidence_id"), contrast_ids.alias("contrast_ids"), "searched_n")
 
 
 def never_did(subjects: DataFrame, events: DataFrame, key: str) -> DataFrame:

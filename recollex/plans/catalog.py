@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from recollex.functions import embed, rules, text
-from recollex.operators import beliefs, detectors, facts, graph, metrics, report, retrieval
+from recollex.operators import beliefs, detectors, facts, filters, graph, metrics, report, retrieval
 from recollex.plans import answers, router
 from recollex.streaming import windows
 
@@ -440,10 +440,8 @@ def q_supersession_chain(spark, d):
 @query(_CHAIN + "SELECT r.event_id AS root, p.event_id AS belief_id, (r.i - p.i)::INTEGER AS depth FROM p r JOIN p USING (user_id) WHERE r.i = r.n AND p.i <= r.i")
 def q_lineage_depth(spark, d):
     rows = _chain(spark, d)
-    rows.where("before is not null").select(F.col("event_id").alias("src"), F.col("before").alias("dst")).createOrReplaceTempView("purchase_links")
-    rows.where("at = n").select(F.col("event_id").alias("belief_id")).createOrReplaceTempView("purchase_roots")
-    spark.conf.set("spark.sql.cteRecursionLevelLimit", "10000")
-    return graph.lineage(spark, "purchase_links", "purchase_roots")
+    links = rows.where("before is not null").select(F.col("event_id").alias("src"), F.col("before").alias("dst"))
+    return graph.lineage(links, rows.where("at = n").select(F.col("event_id").alias("belief_id")))
 
 
 @query(_CHAIN + "SELECT event_id AS belief_id, (n - i)::INTEGER AS depth FROM p WHERE n - i > 5")
@@ -526,8 +524,8 @@ def q_pair_detect_full(spark, d):
     pairs = detectors.word_pairs(rows, "turn", "conv_id")
     one = rows.select("conv_id", F.col("turn").alias("a"), F.col("text").alias("x"))
     two = rows.select("conv_id", F.col("turn").alias("b"), F.col("text").alias("y"))
-    verdict = detectors.STACKS["full"](F.col("x"), F.col("y"))
-    return pairs.join(one, ["conv_id", "a"]).join(two, ["conv_id", "b"]).withColumn("v", verdict).select("conv_id", "a", "b", "v.label", "v.confidence")
+    both = pairs.join(one, ["conv_id", "a"]).join(two, ["conv_id", "b"])
+    return detectors.judged(both, "x", "y").select("conv_id", "a", "b", "label", "confidence")
 
 
 # ---- question classes ----
@@ -710,7 +708,7 @@ def q_last_access(spark, d):
     return beliefs.last_access(c, o).join(last, "belief_id", "left").select(F.col("belief_id").alias("c_custkey"), "last_order", "last_access")
 
 
-@query("WITH k AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS i FROM embeddings) SELECT a.vec_id AS a, b.vec_id AS b, 0.01::DOUBLE AS weight FROM k a JOIN k b ON a.label = b.label AND a.vec_id < b.vec_id WHERE a.i <= 200 AND b.i <= 200")
+@query("SELECT a.vec_id AS a, b.vec_id AS b, 0.01::DOUBLE AS weight FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id")
 def q_session_seeds(spark, d):
     rows = load(spark, d, "embeddings").select(F.col("label").alias("session_id"), F.col("vec_id").alias("belief_id"))
     none = spark.createDataFrame([], "a long, b long, weight double")
@@ -753,3 +751,89 @@ def q_macro_average(spark, d):
 @query("WITH c AS (SELECT label AS gold, (vec_id % 10)::INTEGER AS p FROM embeddings), k AS (SELECT DISTINCT label AS class FROM embeddings) SELECT class, round(count(*) FILTER (gold = class AND p = class) / nullif(count(*) FILTER (gold = class), 0), 6) AS recall, round(count(*) FILTER (gold = class AND p = class) / nullif(count(*) FILTER (p = class), 0), 6) AS precision FROM k, c GROUP BY class")
 def q_per_class(spark, d):
     return metrics.per_class(q_confusion_matrix(spark, d)).select("class", F.round("recall", 6).alias("recall"), F.round("precision", 6).alias("precision"))
+
+
+# ---- predicates, lookups and scorers ----
+@query("SELECT event_type AS text, arg_max(event_id, (ts, event_id)) AS belief_id, max(ts) AS asserted_at FROM events GROUP BY event_type")
+def q_point_lookup(spark, d):
+    rows = load(spark, d, "events").select(F.col("event_type").alias("text"), F.col("event_id").alias("belief_id"), F.col("ts").alias("asserted_at"))
+    return filters.by_text(rows).select("text", "belief_id", "asserted_at")
+
+
+@query("SELECT o_orderkey, coalesce(o_totalprice / 500000 >= 0.5, false) AS shown FROM orders")
+def q_confidence_floor(spark, d):
+    return load(spark, d, "orders").select("o_orderkey", filters.shown(F.col("o_totalprice") / 500000).alias("shown"))
+
+
+@query("SELECT c_nationkey, count(c_acctbal)::BIGINT AS n, round(avg(c_acctbal), 6) AS mean, min(c_acctbal) AS least, max(c_acctbal) AS greatest, round(median(c_acctbal), 6) AS median FROM customer GROUP BY c_nationkey")
+def q_confidence_stats(spark, d):
+    rows = load(spark, d, "customer").select("c_nationkey", F.col("c_acctbal").alias("confidence"))
+    return beliefs.confidence_stats(rows, "c_nationkey").withColumns({c: F.round(c, 6) for c in ("mean", "median")})
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderdate > TIMESTAMP '1996-06-01' THEN -2.0 ELSE 0.0 END::DOUBLE AS penalty FROM orders")
+def q_temporal_penalty(spark, d):
+    return load(spark, d, "orders").select("o_orderkey", filters.late_penalty(F.col("o_orderdate"), F.lit("1996-06-01").cast("timestamp_ntz")).alias("penalty"))
+
+
+@query(f"SELECT conv_id, turn FROM conversations WHERE list_has_any({_TOKENS}, {_TOKENS.replace('text', chr(39) + QUESTION + chr(39))})")
+def q_relevance_prefilter(spark, d):
+    return load(spark, d, "conversations").where(filters.shares_token(F.col("text"), QUESTION)).select("conv_id", "turn")
+
+
+@query("SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def q_noise(spark, d):
+    return filters.noise(load(spark, d, "documents").select("doc_id", "lang"), load(spark, d, "labels"), "doc_id")
+
+
+@query(_ATTR + "SELECT DISTINCT node FROM (SELECT node FROM (SELECT o_orderkey AS node FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 12) UNION ALL SELECT node FROM a WHERE channel = 'entity' AND value IN (SELECT c_custkey::VARCHAR FROM customer WHERE c_acctbal < 0))")
+def q_anchors(spark, d):
+    top = load(spark, d, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(12).select(F.col("o_orderkey").alias("node"), F.row_number().over(W.orderBy(F.desc("o_totalprice"), "o_orderkey")).alias("rank"))
+    named = load(spark, d, "customer").where("c_acctbal < 0").select(F.col("c_custkey").cast("string").alias("value"))
+    return filters.anchors(top, _order_attributes(spark, d), named)
+
+
+@query("SELECT lang, round(avg((quality = toxic)::INTEGER), 6) AS exact, round(avg((quality = toxic OR (n_chars % 2 = 0 AND quality = 1))::INTEGER), 6) AS acceptable, count(*)::BIGINT AS n FROM labels JOIN documents USING (doc_id) GROUP BY lang")
+def q_router_scores(spark, d):
+    rows = load(spark, d, "labels").join(load(spark, d, "documents"), "doc_id").select("lang", F.col("quality").alias("predicted"), F.col("toxic").alias("gold"), F.when(F.col("n_chars") % 2 == 0, 1).alias("secondary"))
+    return metrics.routed(rows, "lang").withColumns({c: F.round(c, 6) for c in ("exact", "acceptable")})
+
+
+@query(_CHAIN + ", e AS (SELECT user_id, before AS old_id, event_id AS new_id FROM p WHERE before IS NOT NULL), r AS (SELECT user_id, event_id AS belief_id, CASE WHEN i < n THEN 'superseded' ELSE 'current' END AS status FROM p WHERE event_id % 3 <> 0) SELECT user_id, round(avg((r.status = 'superseded')::INTEGER), 6) AS score, count(*)::BIGINT AS pairs FROM e JOIN r USING (user_id) WHERE r.belief_id = old_id AND new_id % 3 <> 0 GROUP BY user_id")
+def q_supersession_score(spark, d):
+    chain = _chain(spark, d)
+    expected = chain.where("before is not null").select("user_id", F.col("before").alias("old_id"), F.col("event_id").alias("new_id"))
+    returned = chain.where("event_id % 3 <> 0").select("user_id", F.col("event_id").alias("belief_id"), F.when(F.col("at") < F.col("n"), "superseded").otherwise("current").alias("status"))
+    return metrics.supersession_score(returned, expected, "user_id").withColumn("score", F.round("score", 6))
+
+
+@query("WITH w AS (SELECT lang, lower(text) AS s, [lang, source] AS expected FROM documents WHERE text IS NOT NULL) SELECT lang, round(avg((contains(s, lower(expected[1])) AND contains(s, lower(expected[2])) AND NOT contains(s, 'license'))::INTEGER), 6) AS accuracy, round(avg(contains(s, 'license')::INTEGER), 6) AS leaked, count(*)::BIGINT AS n FROM w GROUP BY lang")
+def q_belief_score(spark, d):
+    rows = load(spark, d, "documents").where("text is not null").select("lang", F.col("text").alias("summary"), F.array("lang", "source").alias("expected"), F.array(F.lit("License")).alias("replaced"))
+    return metrics.belief_score(rows, "lang").withColumns({c: F.round(c, 6) for c in ("accuracy", "leaked")})
+
+
+@query("WITH s AS (SELECT o_orderpriority, strftime(o_orderdate, '%Y') AS period, sum(o_totalprice) AS want, sum(o_totalprice) FILTER (o_orderkey % 50 <> 0) AS have FROM orders GROUP BY ALL) SELECT o_orderpriority, round(avg(coalesce(abs(have - want) <= greatest(1, 0.05 * abs(want)), false)::INTEGER), 6) AS score, 0::BIGINT AS extra FROM s GROUP BY o_orderpriority")
+def q_bucket_score(spark, d):
+    o = _order_facts(spark, d)
+    want = facts.series(o, "year", "o_orderpriority", least=1).drop("n")
+    have = facts.series(load(spark, d, "orders").where("o_orderkey % 50 <> 0").select("o_orderpriority", F.col("o_totalprice").alias("value"), F.col("o_orderdate").alias("ts")), "year", "o_orderpriority", least=1).drop("n")
+    return metrics.bucket_score(want, have, "o_orderpriority").withColumn("score", F.round("score", 6))
+
+
+@query()
+def q_absence_verdicts(spark, d):
+    """Each customer-like question over all turns: held against plain Python in the tests."""
+    rows = _said(spark, d).select(F.concat_ws("#", "conv_id", "turn").alias("belief_id"), "text", F.col("turn").alias("asserted_at"))
+    asked = [(i, s, w) for i, (s, w) in enumerate([("ever", "Rome"), ("still", "smoke"), ("yet", "blue one"), ("identity", "doctor"), ("open", "Lisbon"), ("ever", "parade"), ("still", "Oslo"), ("ever", "the tion")])]
+    return answers.absence_verdicts(rows, spark.createDataFrame(asked, "question_id int, scope string, locus string"))
+
+
+@query()
+def q_ingest(spark, d):
+    """The log that conversations and literal statements give as stores: held against literal cases in the tests."""
+    rows = _said(spark, d).select(
+        F.col("conv_id").alias("store_id"), F.col("turn").alias("seq"), "text", F.col("conv_id").cast("string").alias("session_id"), F.lit("chat").alias("source_id"), F.lit(None).cast("string").alias("context"),
+        F.lit("2024-01-01").cast("timestamp_ntz").alias("asserted_at"),
+    )
+    return beliefs.ingested(rows).groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("store_id").alias("stores"))

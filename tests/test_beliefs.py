@@ -102,8 +102,30 @@ def test_trend(spark, values, label):
     ("revision", "I quit drinking coffee", "I am back on drinking coffee", "contradicts"),
 ])
 def test_detectors(spark, stack, a, b, label):
-    row = spark.createDataFrame([(a, b)], "a string, b string").select(detectors.STACKS[stack](F.col("a"), F.col("b")).alias("v")).first()
-    assert row.v.label == label
+    row = spark.createDataFrame([(a, b)], "a string, b string").transform(lambda r: detectors.judged(r, "a", "b", stack)).first()
+    assert row.label == label
+
+
+def test_full_stack_rewrites_and_vetoes(spark):
+    cases = [("I eat raw fish", "I do not eat sushi at all", "contradicts"), ("I want to move as my rent is 1500", "They say my rent is 1700", "neutral")]
+    rows = detectors.judged(spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(cases)], "i int, a string, b string"), "a", "b").collect()
+    assert {r.i: r.label for r in rows} == {i: label for i, (_, _, label) in enumerate(cases)}
+
+
+def test_ingest_settles_by_means_of_knowledge(spark):
+    t = dt.datetime(2024, 1, 1)
+    said = {
+        1: ["I saw that my rent is 1500", "My doctor told me that my rent is 1700"],  # hearsay does not replace what was seen
+        2: ["My doctor told me that my rent is 1500", "I saw that my rent is 1700"],
+        3: ["My rent is 1500", "My rent is 1700"],
+        4: ["The choir meets on Monday", "the choir meets on monday!"],
+    }
+    rows = spark.createDataFrame([(s, i, x, "s", f"src{i}", None, t) for s, own in said.items() for i, x in enumerate(own)], "store_id long, seq long, text string, session_id string, source_id string, context string, asserted_at timestamp_ntz")
+    log = B.ingested(rows)
+    types = {s: [r.type for r in log.where(F.col("store_id") == s).orderBy("seq").collect()] for s in said}
+    assert types == {1: ["add", "add", "sublate"], 2: ["add", "add", "sublate"], 3: ["add", "add", "supersede"], 4: ["add", "add", "reinforce"]}
+    now = {(r.store_id, r.belief_id) for r in B.current(B.folded(log)).collect()}
+    assert (1, "b0") in now and (1, "b1") not in now and (2, "b1") in now and (2, "b0") not in now and (3, "b1") in now
 
 
 def test_ingest_supersedes(spark):

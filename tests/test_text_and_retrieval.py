@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from recollex.functions import text
-from recollex.operators import graph, retrieval
+from recollex.operators import graph, metrics, retrieval
 from recollex.plans import answers, router
 from recollex.sources import logs, notes
 
@@ -90,6 +90,32 @@ def test_absence(spark):
     assert found == {1: ("present", 2), 2: ("absent", 2), 3: ("absent", 2)}
 
 
+def test_absence_by_scope(spark):
+    said = ["I might visit Japan someday", "I returned from Peru again, hoping to rest", "Dario was announced as team lead", "I am the chess captain", "We talked about the boiler", "We ordered the boiler", "I own a kayak", "I no longer own the kayak"]
+    rows = spark.createDataFrame([(f"b{i}", x, i) for i, x in enumerate(said)], "belief_id string, text string, asserted_at int")
+    asked = [("ever", "japan"), ("ever", "peru"), ("identity", "team lead"), ("identity", "chess captain"), ("yet", "boiler"), ("open", "roof"), ("still", "kayak")]
+    found = answers.absence_verdicts(rows, spark.createDataFrame([(i, *a) for i, a in enumerate(asked)], "question_id int, scope string, locus string")).collect()
+    got = {asked[r.question_id][1]: (r.verdict, r.evidence_id, r.contrast_ids) for r in found}
+    assert got == {
+        "japan": ("absent", None, ["b0"]), "peru": ("present", "b1", ["b1"]), "team lead": ("absent", None, ["b2"]), "chess captain": ("present", "b3", ["b3"]),
+        "boiler": ("present", "b5", ["b5"]), "roof": ("absent", None, []), "kayak": ("absent", "b7", ["b7", "b6"]),
+    }
+    assert all(r.searched_n == len(said) for r in found)
+
+
+def test_answers_in_summaries(spark):
+    cases = [("3 red bikes", "she has three red bikes", True), ("three red bikes", "there are 3 red bikes", True), ("3 bikes", "13 bikes", False), ("Lisbon", "she moved to lisbon", True), ("blue old car", "a red bus", False), ("", "x", False), ("12.5 km", "ran 12.5 km", True)]
+    rows = spark.createDataFrame([(i, a, s) for i, (a, s, _) in enumerate(cases)], "i int, a string, s string")
+    got = {r.i: r.v for r in rows.select("i", metrics.in_summary(F.col("a"), F.col("s")).alias("v")).collect()}
+    assert got == {i: c[2] for i, c in enumerate(cases)}
+
+
+def test_lineage_with_a_cycle(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(1, 12)] + [(5, 2), (3, 9)], "src long, dst long")
+    got = {r.belief_id: r.depth for r in graph.lineage(links, spark.createDataFrame([(1,)], "belief_id long")).collect()}
+    assert got == {1: 0, 2: 1, 3: 2, 4: 3, 9: 3, 5: 4, 10: 4, 6: 5, 11: 5, 7: 6, 12: 6, 8: 7}
+
+
 def test_memory_answers(spark):
     rows = spark.sql("""select 1L store_id, id seq, t text, 's' session_id, 's' source_id, cast(null as string) context, timestamp_ntz'2024-01-05 00:00:00' + make_dt_interval(cast(id * 31 as int)) asserted_at
         from values (0L, 'I spent $50 on a bike saddle'), (1L, 'I paid $75 for a bike helmet'), (2L, 'I visited Japan in spring') as v(id, t)""")
