@@ -138,9 +138,10 @@ def repeated_places(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     delete(spans, counted)
     at = F.struct("doc", "place")
     firsts = found.groupBy("span").agg(F.min(at).alias("first"), F.max(at).alias("last")).where("first < last").select("span", "first")
+    firsts = written(firsts, "firsts")  # so that both sides of the join come from shuffles of their own, which Spark can split
     later = found.join(firsts, "span").where((F.col("doc") != F.col("first.doc")) | (F.col("place") != F.col("first.place")))
     later = written(later.groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("place", "until"))).alias("places")), "later")
-    delete(found)
+    delete(found, firsts)
     return later, later.select("doc")
 
 
