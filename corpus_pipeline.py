@@ -3,7 +3,8 @@
 Null and empty texts, null ids, ties and repeated rows go through every stage; what each gives for them is in its docstring.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each stage's rows as Parquet into the shared
-folder and reads them again as the next one's docs. All stages but the last return the columns of documents.
+folder and reads them again as the next one's docs. All stages but the last return the columns of documents. Those that end
+in Python lower the rows that Spark sends to a worker at a time, for the session: whole texts make batches large.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 
 from recollex.llm import bpe, mixing, neardup, pii
 from recollex.llm import toxicity as toxic
-from recollex.llm.common import delete, only, table, written
+from recollex.llm.common import delete, only, small_batches, table, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -28,6 +29,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     same score, so all of them stay or go. Without labels of both classes every document stays.
     """
     net = toxic.fitted(docs, table(spark, sf_dir, "labels"))
+    small_batches(spark)
     return toxic.score(docs.select(*COLUMNS), net).where("predicted = 0").select(*COLUMNS)
 
 
@@ -49,6 +51,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     Null and empty texts stay as they are; repeated rows are changed alike; texts of any length are read whole.
     """
+    small_batches(spark)
     return pii.redact(docs.select(*COLUMNS))
 
 
@@ -63,6 +66,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids and decoded of each row; null and empty texts have no ids, repeated rows repeated results."""
+    small_batches(spark)
     return bpe.encode(docs)
 
 

@@ -36,9 +36,9 @@ from recollex.llm.common import table
 #: Texts (in characters) whose new words share one traversal, and bytes of what a task remembers of chunks (white-space-free
 #: parts of texts): one generation of that size is in use, the one before it is looked up and then forgotten.
 SLICE_CHARS = 1_000_000
-REMEMBERED_BYTES = 48_000_000
-#: Entries of the memories that a worker keeps between tasks: neighbours judged, and steps of the automaton.
-JUDGED = 200_000
+REMEMBERED_BYTES = 24_000_000
+#: Entries of what a task remembers of neighbours judged and of steps of the automaton; and of the edges of tokens, on each side.
+JUDGED, EDGES = 200_000, 10_000
 _END = 256
 _SPACES = regex.compile(r"\p{White_Space}+")
 _CONTROLS = regex.compile("[\x1c-\x1f]")
@@ -62,20 +62,22 @@ class Tokenizer:
             model = json.load(f)
         bpe = model["model"]
         self.end = bpe["end_of_word_suffix"] or ""
-        self.ids: dict[str, int] = bpe["vocab"]
+        vocab: dict[str, int] = bpe["vocab"]
         self.specials = {x["content"]: x["id"] for x in model["added_tokens"]}
-        self.text = {i: t for t, i in self.ids.items()} | {i: t for t, i in self.specials.items()}
+        text = {i: t for t, i in vocab.items()} | {i: t for t, i in self.specials.items()}
         self.special = regex.compile("|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True)))) if self.specials else None
         self.byte_of = {x: b for b, x in enumerate(byte_letters())}
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
-        self.parts: dict[int, tuple[int, int, int]] = {}
+        top = max(text) + 1
+        self.ranks: dict[int, int] = {}  # of a merge, by its two tokens
+        self.parts = (array("i", [-1]) * top, array("i", [-1]) * top)  # of each token, -1 if no merge makes it
+        self.rank = array("i", [-1]) * top  # of the merge that makes it
         for rank, pair in enumerate(bpe["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            whole = self.ids[a + b]
-            self.merges.setdefault((self.ids[a], self.ids[b]), (rank, whole))
-            self.parts.setdefault(whole, (self.ids[a], self.ids[b], rank))
-        top = max(self.text) + 1
-        self.length, self.shown, self.decimal = [0] * top, [self.text.get(i, "") for i in range(top)], [str(i) for i in range(top)]
+            whole, a, b = vocab[a + b], vocab[a], vocab[b]
+            self.ranks.setdefault(a << 20 | b, rank)
+            if self.rank[whole] < 0:
+                self.parts[0][whole], self.parts[1][whole], self.rank[whole] = a, b, rank
+        self.length, self.shown, self.decimal = [0] * top, [text.get(i, "") for i in range(top)], [str(i) for i in range(top)]
         self.steps: dict[int, int] = {}
         self.token_at = [-1]
         self._fail = array("i", [0])
@@ -83,7 +85,7 @@ class Tokenizer:
         if not self.end:
             raise ValueError("the vocabulary has no suffix for word ends")
         specials = set(self.specials.values())
-        for t, i in self.ids.items():
+        for t, i in vocab.items():
             if i not in specials:
                 self._enter(t, i, above, depth)
         self.out = [-1] * len(depth)
@@ -94,6 +96,11 @@ class Tokenizer:
         self._whole: dict[int, bool] = {}
         self._beside: dict[int, bool] = {}
 
+    def forget(self) -> None:
+        """Keep the vocabulary only; what is worked out again is the same."""
+        for held in (self._next, self._right, self._left, self._whole, self._beside):
+            held.clear()
+
     def _enter(self, token: str, i: int, above: array, depth: list[int]) -> None:
         """Into the trie of tokens, a word's end being a letter of its own; above: the step (node, letter) that leads to each node."""
         ends = token.endswith(self.end)
@@ -130,12 +137,12 @@ class Tokenizer:
         found = held.get(token)
         if found is None:
             found, at, until = [], token, _NEVER
-            while True:
+            while at >= 0:
                 found.append((at, until))
-                if at not in self.parts:
-                    break
-                until, at = self.parts[at][2], self.parts[at][side]
+                until, at = self.rank[at], self.parts[side][at]
             found.reverse()
+            if len(held) >= EDGES:
+                held.clear()
             held[token] = found
         return found
 
@@ -145,8 +152,8 @@ class Tokenizer:
         i = j = 0
         while True:
             (x, x_end), (y, y_end) = left[i], right[j]
-            merge = self.merges.get((x, y))
-            if merge and merge[0] < x_end and merge[0] <= y_end and merge[0] < until:
+            rank = self.ranks.get(x << 20 | y)
+            if rank is not None and rank < x_end and rank <= y_end and rank < until:
                 return False
             if x_end <= y_end:
                 if x_end == _NEVER:
@@ -159,8 +166,8 @@ class Tokenizer:
         """Whether the token's own text is encoded as that token."""
         known = self._whole.get(token)
         if known is None:
-            parts = self.parts.get(token)
-            known = parts is None or (self.is_whole(parts[0]) and self.is_whole(parts[1]) and self._untouched(*parts))
+            a, b, rank = self.parts[0][token], self.parts[1][token], self.rank[token]
+            known = rank < 0 or (self.is_whole(a) and self.is_whole(b) and self._untouched(a, b, rank))
             self._whole[token] = known
         return known
 
@@ -315,7 +322,7 @@ class Encoder:
         t = self.tokenizer
         for some in split:
             if isinstance(some, int):
-                yield [(1, str(some), t.text[some]) if self.digests else (array("i", [some]).tobytes(), t.text[some])]
+                yield [(1, str(some), t.shown[some]) if self.digests else (array("i", [some]).tobytes(), t.shown[some])]
             elif some:
                 if not all(map(self.young.__contains__, some)):
                     self.learn(set(some))
@@ -355,19 +362,22 @@ def _rows(encoder: Encoder, ids: pa.Array, splits: list[Iterable[list[str] | int
 
 
 def _encoded(path: str, digests: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    encoder = Encoder(path, digests)  # ends with the task: a worker that waits for its next one holds only the vocabulary
-    for batch in batches:
-        at = 0
-        while at < batch.num_rows:
-            splits, size, to = [], 0, at
-            while to < batch.num_rows and (to == at or size < SLICE_CHARS):
-                text = batch.column(1)[to].as_py() or ""
-                size += len(text)
-                splits.append(list(encoder.split(text)) if len(text) <= SLICE_CHARS else encoder.split(text))
-                to += 1
-            encoder.learn({c for x in splits if isinstance(x, list) for some in x if isinstance(some, list) for c in some})  # one trie for the slice
-            yield _rows(encoder, batch.column(0).slice(at, to - at), splits)
-            at = to
+    encoder = Encoder(path, digests)  # ends with the task, as all that the tokenizer has remembered: a worker that waits for its next one holds only the vocabulary
+    try:
+        for batch in batches:
+            at = 0
+            while at < batch.num_rows:
+                splits, size, to = [], 0, at
+                while to < batch.num_rows and (to == at or size < SLICE_CHARS):
+                    text = batch.column(1)[to].as_py() or ""
+                    size += len(text)
+                    splits.append(list(encoder.split(text)) if len(text) <= SLICE_CHARS else encoder.split(text))
+                    to += 1
+                encoder.learn({c for x in splits if isinstance(x, list) for some in x if isinstance(some, list) for c in some})  # one trie for the slice
+                yield _rows(encoder, batch.column(0).slice(at, to - at), splits)
+                at = to
+    finally:
+        encoder.tokenizer.forget()
 
 
 def default_path() -> str:

@@ -1,5 +1,6 @@
 """The pipeline and its stages, each on its own input, against plain Python."""
 
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline as P
@@ -71,3 +72,31 @@ def test_empty_and_odd_tables(spark, tmp_path):
         for _, stage in P.STAGES:
             docs = stage(spark, docs, str(tmp_path))
         assert docs.count() >= 0, name
+
+
+@pytest.mark.parametrize("stage", ["toxicity", "personal_data", "tokens"])
+def test_stages_that_end_in_python_send_few_texts_at_a_time(spark, stage):
+    """Ten thousand texts in a batch, on both sides of the pipe, took an executor over its memory."""
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    before = spark.conf.get(rows)
+    try:
+        for held, want in (("10000", common.BATCH_ROWS), ("0", common.BATCH_ROWS), ("200", 200)):
+            spark.conf.set(rows, held)
+            dict(P.STAGES)[stage](spark, docs, "/root/testdata/sf0.001")
+            assert int(spark.conf.get(rows)) == want
+    finally:
+        spark.conf.set(rows, before)
+
+
+def test_a_worker_keeps_the_vocabulary_only(monkeypatch):
+    """What a task had worked out on tokens stayed in each waiting worker, and the edges of tokens had no bound."""
+    monkeypatch.setattr(bpe, "EDGES", 50)
+    e = bpe.Encoder(bpe.default_path())
+    e.learn({"".join(chr(97 + i * k % 26) for k in range(1, 9)) for i in range(26)})
+    t = e.tokenizer
+    assert t._next and t._beside and 0 < len(t._left) <= 50 and 0 < len(t._right) <= 50
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["some words, and others"])], ["doc_id", "text"])
+    for _ in bpe._encoded(bpe.default_path(), False, iter([batch])):
+        assert t._next
+    assert not (t._next or t._beside or t._left or t._right or t._whole)
