@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recollex.llm import kernels
-from recollex.llm.common import bitmap, delete, may_be_in, table, written
+from recollex.llm.common import bitmap, delete, may_be_in, small_batches, table, written
 
 RUN, MIN_WORDS, GAP = 3, 25, 7
 _ENDS = np.zeros(256, dtype=bool)
@@ -146,7 +146,11 @@ def repeated_places(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """doc_id, n_sentences, n_removed, words_removed, removed and cleaned (the text that stays) of each row."""
+    """doc_id, n_sentences, n_removed, words_removed, removed and cleaned (the text that stays) of each row.
+
+    Its texts go to Python when the caller computes it, so the session keeps the smaller number of rows in a batch.
+    """
+    small_batches(docs.sparkSession)
     later, named = repeated_places(docs)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     bits = bitmap(named, "doc")

@@ -754,6 +754,18 @@ def test_spans_edge_cases(spark, odd):
     assert all(r.n_removed == 0 for r in spans.dedup(twice).collect())
 
 
+def test_texts_of_substring_dedup_go_to_python_in_small_batches(spark):
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(rows)
+    docs = spark.createDataFrame([(1, "one two three")], "doc_id long, text string")
+    try:
+        spark.conf.set(rows, "10000")
+        out = spans.dedup(docs)
+        assert int(spark.conf.get(rows)) <= 1000 and [r.cleaned for r in out.collect()] == ["one two three"]
+    finally:
+        spark.conf.set(rows, before)
+
+
 def test_no_machine_local_writes_are_left(spark):
     from recollex.llm.common import shared_dir
 
